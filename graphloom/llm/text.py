@@ -23,9 +23,6 @@ _WORD = np.zeros(256, np.bool_)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _WORD[_lo:_hi] = True
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(0, np.uint64), np.ones(0, np.uint64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser; a bijection of uint64."""
     with np.errstate(over="ignore"):
@@ -38,23 +35,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            up = np.full(size, _P, np.uint64)
-            down = np.full(size, _P_INV, np.uint64)
-            up[0] = down[0] = 1
-            _powers = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _powers[0][:n], _powers[1][:n]
+class _Powers:
+    """Powers of the hash's base and of its inverse, as many as were needed so far in this process."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def __reduce__(self):
+        return (_Powers, ())  # made anew in each worker, not sent
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            with np.errstate(over="ignore"):
+                up, down = (np.full(max(n, 1 << 16), x, np.uint64) for x in (_P, _P_INV))
+                up[0] = down[0] = 1
+                self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for every span, the same wherever the span lies.
 
     A polynomial prefix sum modulo 2**64, so the cost does not depend on the spans' lengths."""
-    up, down = _power_tables(len(values) + 1)
+    up, down = _POWERS.first(len(values) + 1)
     with np.errstate(over="ignore"):
         prefix = np.zeros(len(values) + 1, np.uint64)
         np.cumsum((values + np.uint64(1)) * up[: len(values)], out=prefix[1:])
