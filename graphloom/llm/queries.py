@@ -8,12 +8,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, mixing, neardup, phrases, quality, secrets, shards, suffixes, toxicity
+from . import anchors, decontaminate, mixing, neardup, phrases, quality, secrets, shards, suffixes, toxicity
 from .base import read
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_benchmark_leaks": lambda spark, d: decontaminate.leaks(read(spark, d, "documents"), read(spark, d, "benchmark")),
         "op2_toxicity_neighbours": lambda spark, d: toxicity.flagged(read(spark, d, "documents"), read(spark, d, "labels")),
         "op3_mix_sources": lambda spark, d: mixing.query(read(spark, d, "documents")),
         "op4_secret_ownership": lambda spark, d: secrets.scan(read(spark, d, "documents")),
