@@ -22,6 +22,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
 
 
+def once(value: Column, name: str) -> Column:
+    """The value as a column of its own: a generator of one row, behind which the optimiser doesn't look.
+
+    A URL expression is large; copied into each filter and projection above it, and multiplied by the constraints
+    that follow from those, it would grow without bounds.  At most one in a select()."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def part(url: Column, which: int) -> Column:
     """A part of an absolute URL; empty if it has none, null for what isn't a URL."""
     return F.when(url.rlike(_PARTS), F.regexp_extract(url, _PARTS, which))

@@ -26,7 +26,7 @@ Fetcher = Callable[[DataFrame], DataFrame]
 
 def snapshot(pages: DataFrame) -> Fetcher:
     """Pages (url, html) by their normal address; of several with the same one, the least page counts."""
-    held = pages.select(urls.normalize(F.col("url")).alias("url"), "html").where("url is not null").groupBy("url").agg(F.min("html").alias("html"))
+    held = pages.select(urls.once(urls.normalize(F.col("url")), "url"), "html").where("url is not null").groupBy("url").agg(F.min("html").alias("html"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
         return wanted.join(held, "url", "left").select("urlid", "html", F.when(F.col("html").isNull(), "not found").alias("error"))
@@ -75,10 +75,10 @@ def links(documents: DataFrame) -> DataFrame:
 
     Relative links are resolved against the page's base address if it has one, else its URL; what isn't a
     URL, and other schemes than http(s), is left out."""
-    base = F.coalesce(urls.normalize(h.base_href(F.col("html"))), F.col("url"))
-    found = documents.select("url", base.alias("__base"), F.explode(h.hrefs(F.col("html"))).alias("__href"))
-    target = urls.normalize(urls.resolve(F.col("__base"), urls.unescape(F.col("__href"))))
-    out = found.where(~F.col("__href").rlike("^(?i:javascript|mailto|data|tel|ftp):")).select("url", target.alias("link"))
+    based = documents.select("url", "html", urls.once(F.coalesce(urls.normalize(h.base_href(F.col("html"))), F.col("url")), "__base"))
+    wanted = F.filter(h.hrefs(F.col("html")), lambda x: ~x.rlike("^(?i:javascript|mailto|data|tel|ftp):"))
+    target = F.transform(wanted, lambda x: urls.normalize(urls.resolve(F.col("__base"), urls.unescape(x))))
+    out = based.select("url", F.explode(target).alias("link"))
     return out.where(F.col("link").rlike("^https?://") & urls.equal_hosts(F.col("url"), F.col("link")))
 
 
@@ -123,10 +123,10 @@ def crawl_round(table: DataFrame, locks: DataFrame, hosts: DataFrame, patterns:
 
 
 def crawl(table: DataFrame, hosts: DataFrame, patterns: DataFrame, fetcher: Fetcher, now: int, rounds: int | None = None, **options) -> Round:
-    """Rounds until none has a URL to fetch (or as many as are asked for), all at the time ``now``.
+    """Rounds until one brings no page (or as many as are asked for), all at the time ``now``.
 
-    What was fetched isn't due again at that time, and what fails leaves the frontier by its score, so
-    this ends.  The documents of all rounds are together; a round's rows are written to the shared folder."""
+    What was fetched isn't due again at that time, so this ends; hosts that are down are left for another
+    crawl.  The documents of all rounds are together; a round's rows are written to the shared folder."""
     locks = table.sparkSession.createDataFrame([], frontier.LOCK)
     documents, counters, k = None, None, 0
     while rounds is None or k < rounds:
@@ -138,6 +138,6 @@ def crawl(table: DataFrame, hosts: DataFrame, patterns: DataFrame, fetcher: Fetc
         counters = numbers if counters is None else counters.unionByName(numbers)
         k += 1
         seen = numbers.first()
-        if not seen["stat.crawled"] and not seen["err.connError"]:
+        if not seen["stat.crawled"]:
             break
     return Round(documents, table, counters)

@@ -152,8 +152,9 @@ def scrape(routed: DataFrame, scrapers: list[Scraper]) -> tuple[DataFrame, DataF
     full = lambda c: urls.normalize(urls.resolve(base, F.col(c)))
     s = F.when(F.col("s").isNull(), F.col("url")).otherwise(full("s"))
     o = F.when(F.col("kind") == t.LITERAL, F.col("o")).when(F.col("o").isNull(), F.col("url")).when(F.col("dt") == "", F.col("o")).otherwise(full("o"))
-    made = raw.where("kind <> 'error'").select(
-        s.alias("s"), F.lit(t.URI).alias("s_kind"), "p", o.alias("o"), F.col("kind").alias("o_kind"), F.when(F.col("kind") == t.LITERAL, F.col("dt")).alias("o_dt"),
+    fact = F.struct(
+        s.alias("s"), F.lit(t.URI).alias("s_kind"), F.col("p"), o.alias("o"), F.col("kind").alias("o_kind"), F.when(F.col("kind") == t.LITERAL, F.col("dt")).alias("o_dt"),
         F.lit(None).cast("string").alias("o_lang"), F.lit(False).alias("inferred"),
     )
+    made = raw.where("kind <> 'error'").select(F.inline(F.array(fact)))  # a generator, as in urls.once()
     return made.where("s is not null and p is not null and o is not null"), raw.where("kind = 'error'").select("url", F.col("o").alias("message"))

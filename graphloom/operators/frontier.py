@@ -217,7 +217,7 @@ def bootstrap(seeds: DataFrame, hosts: DataFrame, patterns: DataFrame, table: Da
     """New frontier rows for a list of absolute URLs, one a row: blank ones are skipped, hosts must be known and
     a pattern must match."""
     url = urls.normalize(F.trim(F.col(column)))
-    found = seeds.where(F.trim(F.col(column)) != "").select(url.alias("url")).where("url is not null")
+    found = seeds.where(F.trim(F.col(column)) != "").select(urls.once(url, "url")).where("url is not null")
     placed = found.select(urls.full_host(F.col("url")).alias("address"), urls.file(F.col("url")).alias("path")).join(hosts, "address").select("hostid", "path")
     return add(table, classify(placed, patterns).withColumnRenamed("is_entity", "entity"))
 

@@ -80,7 +80,7 @@ def infer(statements: DataFrame, axioms: bool = False) -> DataFrame:
     if axioms:
         resources = known.select("s", "s_kind").union(known.where(links).select("o", "o_kind")).union(known.select("p", F.lit(URI))).distinct()
         everything = everything.unionByName(_axiom(resources, TYPE, F.lit(RDFS + "Resource")))
-        named = known.where((F.col("p") == TYPE) & (F.col("o") == CLASS)).select("s", "s_kind").union(known.where(F.col("p") == SUB_CLASS).select(F.explode(F.array(F.struct("s", "s_kind"), F.struct(F.col("o"), F.col("o_kind")))).alias("x")).select("x.s", "x.s_kind")).distinct()
+        named = known.where((F.col("p") == TYPE) & (F.col("o") == CLASS)).select("s", "s_kind").union(known.where(F.col("p") == SUB_CLASS).select(F.inline(F.array(F.struct("s", "s_kind"), F.struct(F.col("o").alias("s"), F.col("o_kind").alias("s_kind")))))).distinct()
         used = known.select(F.col("p").alias("s"), F.lit(URI).alias("s_kind")).distinct()
         for frame, p, o in ((named, SUB_CLASS, F.col("s")), (named, SUB_CLASS, F.lit(RDFS + "Resource")), (used, TYPE, F.lit(RDF + "Property")), (used, SUB_PROPERTY, F.col("s"))):
             everything = everything.unionByName(_axiom(frame, p, o))

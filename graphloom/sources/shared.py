@@ -15,4 +15,11 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+    # what a checkpoint's rows obey is carried on by the optimiser; large expressions would multiply over the rounds of a loop
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name, "true")
+    conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)

@@ -67,8 +67,9 @@ class TableStore(ParquetStore):
     def replace(self, statements: DataFrame) -> None:
         fresh = self.path + "__new"
         self._sorted(t.distinct(statements)).write.mode("overwrite").partitionBy("p").saveAsTable(fresh)
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.path}")
-        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.path}")
+        # the new rows are complete in a table of their own before the old ones go
+        self.spark.table(fresh).write.mode("overwrite").partitionBy("p").saveAsTable(self.path)
+        self.spark.sql(f"DROP TABLE {fresh}")
 
     def add(self, statements: DataFrame) -> None:
         self.replace(self.read().unionByName(statements))
