@@ -1,6 +1,8 @@
 import os
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +13,7 @@ from graphloom.plans import jobs, pipeline
 from graphloom.sources import config, store
 from graphloom.streaming import jobs as streams
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # scrapers of this file run in workers
 A, B = T.StructType([T.StructField("a", T.LongType())]), T.StructType([T.StructField("b", T.LongType())])
 
 
