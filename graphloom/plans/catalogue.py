@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, robots, urls
@@ -392,7 +392,7 @@ def stat_running(spark, d):
 
 # -- the crawl: rounds of joins against the snapshot of pages
 @query(f"""with {FRONTIER}, {_READY}, ranked as (select *, row_number() over (partition by hostid, entity, pattern order by urlid) as rank from ready where entity)
-select page_id, ranked.pattern from ranked join pages on page_id = urlid where rank <= case when ranked.pattern like '%html' then 30 else 20 end""")
+select regexp_replace(address, '/$', '') || ranked.path as url, ranked.pattern from ranked join host using (hostid) where rank <= case when ranked.pattern like '%html' then 30 else 20 end""")
 def crawl_snapshot(spark, d):
     """The documents of one round: prefetch, fetch from the snapshot, entity pages out."""
     pages = views.read(spark, d, "pages")
@@ -403,6 +403,4 @@ def crawl_snapshot(spark, d):
         return wanted.join(held, "url", "left").select("urlid", "html", F.when(F.col("html").isNull(), "not found").alias("error"))
 
     made = crawl.crawl_round(views.frontier(spark, d), views.locks(spark, d), views.hosts(spark, d), views.patterns(spark, d), fetch, NOW, source_first=False)
-    url = views.frontier(spark, d).join(views.hosts(spark, d), "hostid").select(urls.join_host(F.col("address"), F.col("path")).alias("url"), "urlid")
-    rank = Window.partitionBy("url").orderBy("urlid")
-    return made.documents.join(url, "url").join(views.read(spark, d, "pages").select("page_id"), F.col("page_id") == F.col("urlid")).withColumn("__r", F.row_number().over(rank)).select("page_id", "pattern", "__r").drop("__r")
+    return made.documents.select("url", "pattern")
