@@ -13,7 +13,7 @@ from .text import Words, chunks, mix
 #: Minimum hashes in a signature; fingerprints that agree in this share of them or more are alike.
 HASHES, ALIKE = 48, 0.5
 #: Hashes in a band.  Two signatures are compared where a whole band is equal: at the threshold itself (24 of 48) that
-#: finds 86 % of pairs, at 26 of 48 93 %, at 30 of 48 over 99 %.
+#: finds 86 % of pairs, at 26 of 48 93 %, at 30 of 48 98 %.
 BAND = 3
 _DEALT = np.random.default_rng(47).permutation(HASHES).reshape(-1, BAND)
 _ODD = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
