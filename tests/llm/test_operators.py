@@ -180,6 +180,21 @@ def test_phrases(spark, corpus):
     assert abs(np.mean(jaccard)) < 0.1
 
 
+def test_phrases_at_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    n = 6000
+    x = rng.integers(0, 2**32, (n, phrases.HASHES)).astype(np.uint32)
+    y = rng.integers(0, 2**32, (n, phrases.HASHES)).astype(np.uint32)
+    for i in range(n):  # 24, 25 and 26 equal hashes
+        at = rng.permutation(phrases.HASHES)[: 24 + i % 3]
+        y[i, at] = x[i, at]
+    ids = [*range(0, 2 * n, 2), *range(1, 2 * n, 2)]
+    column = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([x, y]).view(np.int32).ravel()), phrases.HASHES).cast(pa.list_(pa.int32()))
+    standing = spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "signature": column}))
+    got = {(r.a, r.b) for r in phrases.candidates(standing).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(n)} <= got
+
+
 # -- 1: decontamination
 def test_leaks(spark):
     rng = random.Random(9)
