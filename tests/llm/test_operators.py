@@ -232,6 +232,22 @@ def test_leaks_part_by_part(spark, monkeypatch):
     assert [r.doc_id for r in decontaminate.clean(docs, b).collect()] == [50]
 
 
+def test_short_items_in_full_passages(spark):
+    """Thousands of short items out of ordinary words, each copied into the middle of another document."""
+    rng = random.Random(21)
+    items, docs = [], []
+    for k in range(2000):
+        item = words(rng, rng.randrange(8, 61))
+        own = words(rng, 150)
+        at = rng.randrange(20, 120)
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(own[:at] + item + own[at:])))
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, docs), b).collect()}
+    assert all((k, k) in got for k in range(2000))
+    assert decontaminate.clean(frame(spark, docs), b).isEmpty()
+
+
 def test_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
