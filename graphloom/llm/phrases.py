@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import cut, texts
@@ -115,24 +115,35 @@ def candidates(standing: DataFrame) -> DataFrame:
 
 
 def alike(docs: DataFrame) -> DataFrame:
-    """(doc_id, match_id, similarity): pairs of documents whose fingerprints are alike.
-
-    similarity is the share of equal minimum hashes, an estimate of the Jaccard similarity of the phrase
-    sets.  Documents with the very same signature are told once: each is matched with the least of them
-    (similarity 1), and that one stands for them in the pairs with others; so all pairs follow from the
-    rows, and thousands of copies give thousands of rows.  The standing ones are compared where one of
-    their bands is equal, as in every pair with ALIKE or more equal hashes one is (see _BANDS), and all of
-    these pairs are told: nothing is missed or capped.  Texts without words match nothing.  Null texts are empty, rows with a null doc_id are left
-    out, of rows that repeat a doc_id the signature with the least hash counts.  Ties don't matter, as all pairs are told.
-    An empty table gives an empty result."""
-    signed = cut(fingerprints(docs).where("signature is not null").select("doc_id", "signature", F.xxhash64("signature").alias("h1"), F.xxhash64("signature", F.lit(1)).alias("h2")))
+    """(doc_id, class_id, copies, links, match_id, similarity): every document whose fingerprint is like another's.
+
+    Documents with the very same signature are a class: class_id is the least of them, copies their number.  links is
+    the number of other documents whose signatures agree with the document's in ALIKE of the minimum hashes or more, its
+    own class among them; match_id is the class of the best match among other classes (the class itself where no other
+    is alike) and similarity the share of equal minimum hashes with it, an estimate of the Jaccard similarity of the
+    phrase sets (ties: the least class).  So there is one row a document, and thousands of copies
+    aren't told pair by pair.  Classes are compared where one of their bands is equal, as in every pair with ALIKE or
+    more equal hashes one is (see _BANDS): no link is missed or capped.
+
+    Texts without words match nothing.  Null texts are empty, rows with a null doc_id are left out, of rows that repeat
+    a doc_id the signature with the least hash counts.  An empty table gives an empty result."""
+    signed = fingerprints(docs).where("signature is not null").select("doc_id", "signature", F.xxhash64("signature").alias("h1"), F.xxhash64("signature", F.lit(1)).alias("h2"))
+    signed = cut(signed)
     # copies are found by the hashes alone; signatures move once, and only those that stand for others
-    least = signed.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).withColumn("id", F.min("doc_id").over(Window.partitionBy("h")))
-    same = least.where("doc_id <> id").select("doc_id", F.col("id").alias("match_id"), F.lit(1.0).alias("similarity"))
-    chosen = least.where("doc_id = id").select("doc_id", "h.h1", "h.h2")
-    standing = signed.join(chosen, ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), "signature")
-    pairs = candidates(standing)
-    left, right = standing.select(F.col("id").alias("a"), F.col("signature").alias("x")), standing.select(F.col("id").alias("b"), F.col("signature").alias("y"))
+    own = signed.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
+    classes = cut(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    standing = signed.join(classes.select(F.col("id").alias("doc_id"), "h1", "h2", "copies"), ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), "signature", "copies")
+    pairs = candidates(standing.select("id", "signature"))
+    left = standing.select(F.col("id").alias("a"), F.col("signature").alias("x"), F.col("copies").alias("na"))
+    right = standing.select(F.col("id").alias("b"), F.col("signature").alias("y"), F.col("copies").alias("nb"))
     equal = F.aggregate(F.zip_with("x", "y", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, k: n + k)
-    judged = pairs.join(left, "a").join(right, "b").select(F.col("b").alias("doc_id"), F.col("a").alias("match_id"), (equal / F.lit(float(HASHES))).alias("similarity"))
-    return same.union(judged.where(F.col("similarity") >= ALIKE))
+    judged = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", equal.alias("equal")).where(F.col("equal") >= math.ceil(ALIKE * HASHES))
+    ends = judged.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), F.col("nb").alias("n"), "equal"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), F.col("na").alias("n"), "equal"))))
+    # equal hashes first, then the least other class: one number and one id, summed where the pairs lie
+    linked = ends.groupBy("id").agg(F.sum("n").alias("n"), F.max(F.struct("equal", (-F.col("other")).alias("least"))).alias("best"))
+    told = classes.join(linked, "id", "left").where("copies > 1 or n is not null")
+    told = told.select(
+        "h1", "h2", F.col("id").alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"),
+        F.coalesce(-F.col("best.least"), F.col("id")).alias("match_id"), F.coalesce(F.col("best.equal") / F.lit(float(HASHES)), F.lit(1.0)).alias("similarity"),
+    )
+    return own.join(told, ["h1", "h2"]).drop("h1", "h2")

@@ -34,17 +34,24 @@ def shard_column(key: Column, shards: int = SHARDS) -> Column:
 
     @F.arrow_udf("int")
     def place(digests: pa.Array) -> pa.Array:
-        keys = np.array([int(d, 16) for d in digests.to_pylist()], np.uint64)
-        return pa.array(jump(keys, shards), pa.int32())
+        at = np.frombuffer(digests.buffers()[1], np.int32, len(digests) + 1, digests.offset * 4)
+        keys = np.frombuffer(digests.buffers()[2], ">u8", len(digests), at[0]) if len(digests) else np.zeros(0)
+        return pa.array(jump(keys.astype(np.uint64), shards), pa.int32())
 
-    return place(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 16))
+    return place(F.unhex(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 16)))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, name: str = "shard") -> DataFrame:
-    """docs with the column ``name`` (replaced if there is one).
+    """docs with the column ``name``.
 
-    A null doc_id is placed like an empty key.  Repeated rows get the same shard; texts don't matter;
+    A column of docs that has this name already is kept as ``<name>_in`` (once more ``_in`` while that is taken).  A null doc_id is placed like an empty key.  Repeated rows get the same shard; texts don't matter;
     an empty table stays empty.  No row is moved: a writer may repartition by the column."""
+    taken = {c.lower() for c in docs.columns}
+    if name.lower() in taken:
+        other = f"{name}_in"
+        while other.lower() in taken:
+            other += "_in"
+        docs = docs.withColumnRenamed(name, other)
     return docs.withColumn(name, shard_column(F.col("doc_id"), shards))
 
 
