@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .base import cut, texts
 from .components import components
 from .overlap import all_pairs, prefix_lists, star_pairs
-from .text import Words, chunks, mix, span_hashes, windows
+from .text import Words, chunks, windows
 
 #: Words in a shingle; values kept of each document; documents at least this alike are near copies.
 SHINGLE, KEPT, ALIKE = 3, 64, 0.5
@@ -36,8 +36,13 @@ def bottom(values: np.ndarray, k: int = KEPT) -> np.ndarray:
     return np.unique(values)[:k]
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, body): body is the hash of the text, so that rows that repeat a doc_id with another text differ."""
+    return texts(docs).withColumn("body", F.unhex(F.md5("text")))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, values): a 128-bit hash of the document's words and its bottom-k sketch."""
+    """(doc_id, body, values): each row's version and its bottom-k sketch."""
 
     def make(batches):
         for batch in batches:
@@ -45,9 +50,6 @@ def sketches(docs: DataFrame) -> DataFrame:
                 words = Words(part.column("text"))
                 h, offs = words.hashes, words.offsets
                 shingles = windows(h, SHINGLE)
-                first = span_hashes(h, offs[:-1], offs[1:])
-                second = span_hashes(mix(h), offs[:-1], offs[1:])
-                bodies = np.stack([first, second], 1).astype("<u8").tobytes()
                 values, sizes = [], np.zeros(len(offs), np.int64)
                 for i in range(len(offs) - 1):
                     a, b = offs[i], offs[i + 1]
@@ -55,16 +57,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                     values.append(kept)
                     sizes[i + 1] = len(kept)
                 flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([bodies[16 * i : 16 * i + 16] for i in range(part.num_rows)], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat)),
-                    ],
-                    names=["doc_id", "body", "values"],
-                )
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), lists], names=["doc_id", "body", "values"])
 
-    return texts(docs).mapInArrow(make, "doc_id bigint, body binary, values array<bigint>")
+    return versions(docs).mapInArrow(make, "doc_id bigint, body binary, values array<bigint>")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, k: int = KEPT) -> float:
@@ -124,49 +120,88 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return joined.mapInArrow(judge, "a bigint, b bigint, jaccard double")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, keeper, copies): every document that has a near copy, the least doc_id of its group and
-    the group's number of documents.
+def standing(docs: DataFrame) -> DataFrame:
+    """(body, id, doc_id, values): every text once, with a number of its own, its least doc_id and its sketch."""
+    made = sketches(docs).where(F.size("values") > 0).groupBy("body").agg(F.min("doc_id").alias("doc_id"), F.any_value("values").alias("values"))
+    return cut(made.select("body", F.monotonically_increasing_id().alias("id"), "doc_id", "values"))
 
-    A group is a connected component of the pairs whose 3-word shingle sets have a Jaccard similarity of
-    ALIKE or more.  Exact copies (the same words) are joined by the hash of all their words first and one
-    stands for them; every other document is compared through the inverted lists of its retained values.
-    In a list each document is held against the list's least first, which joins most of a large group
-    with few pairs; only documents still in different groups are then compared two by two, so nothing is
-    skipped.  Texts without words have no copies.  Null texts are empty, rows with a null doc_id are left
-    out, rows that repeat a doc_id count as one document, whose sketch is that of the least body.  Ties
-    can't arise: the least doc_id stays.  An empty table gives an empty result."""
-    made = sketches(docs).groupBy("doc_id").agg(F.min_by(F.struct("body", "values"), "body").alias("s")).where(F.size("s.values") > 0)
-    sketch = cut(made.select("doc_id", "s.body", "s.values", F.min("doc_id").over(Window.partitionBy("s.body")).alias("id")))
-    exact = sketch.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    distinct = sketch.where("doc_id = id").select("id", "values")
-    lists = cut(prefix_lists(distinct, ALIKE - MARGIN))
-    bodies = cut(texts(docs).withColumnRenamed("doc_id", "id").join(lists.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    first = cut(verified(likely(star_pairs(lists), distinct, ALIKE - MARGIN), bodies).select("a", "b"))
+
+def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): pairs of near copies among the standing texts that join all that are near copies of each other."""
+    sketch = distinct.select("id", "values")
+    lists = cut(prefix_lists(sketch, ALIKE - MARGIN))
+    listed = distinct.select("id", "doc_id", "body").join(lists.select("id").distinct(), "id", "left_semi")
+    bodies = cut(versions(docs).join(listed, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select("id", "text"))
+    first = cut(verified(likely(star_pairs(lists), sketch, ALIKE - MARGIN), bodies).select("a", "b"))
     joined = cut(components(first))
     labelled = lists.join(joined, "id", "left").select("value", "id", F.coalesce("root", "id").alias("root"))
-    mixed = labelled.withColumn("roots", F.min("root").over(Window.partitionBy("value")) != F.max("root").over(Window.partitionBy("value"))).where("roots").drop("roots")
+    several = labelled.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+    mixed = cut(labelled.join(several, "value", "left_semi"))
     left, right = mixed.select("value", F.col("id").alias("a"), F.col("root").alias("ra")), mixed.select("value", F.col("id").alias("b"), F.col("root").alias("rb"))
     rest = left.join(right, "value").where("a < b and ra <> rb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = verified(likely(rest, distinct, ALIKE - MARGIN), bodies).select("a", "b")
-    of = components(first.union(second).union(exact))
-    return of.select(F.col("id").alias("doc_id"), F.col("root").alias("keeper"), F.count(F.lit(1)).over(Window.partitionBy("root")).alias("copies"))
+    return first.union(verified(likely(rest, sketch, ALIKE - MARGIN), bodies).select("a", "b"))
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, body, times): how often each version occurs."""
+    return cut(versions(docs).groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("times")))
+
+
+def classes(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(body, root, keeper, keeper_body, copies, twice): every text that has a copy or near copy, with its group; twice says
+    if a version of the text is repeated.  own: members(docs)."""
+    distinct = standing(docs)
+    joined = components(links(distinct, docs))
+    number = own.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times"))
+    rooted = distinct.select("body", "id", "doc_id").join(joined, "id", "left").join(number, "body").select("body", "doc_id", "n", "times", F.coalesce("root", "id").alias("root"))
+    rooted = cut(rooted)
+    whole = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "body")).alias("keeper"), F.sum("n").alias("copies"))
+    told = rooted.join(whole, "root").where("copies > 1 or times > 1")
+    return told.select("body", "root", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.body").alias("keeper_body"), "copies", (F.col("times") > 1).alias("twice"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, keeper, copies): every document that has a near copy, the least doc_id of its group and
+    the group's number of documents.
+
+    A group is a connected component of the pairs whose 3-word shingle sets have a Jaccard similarity of
+    ALIKE or more.  Exact copies (the same text) are joined by its hash first and one
+    stands for them; every other text is compared through the inverted lists of its retained values.
+    In a list each text is held against the list's least first, which joins most of a large group
+    with few pairs; only texts still in different groups are then compared two by two.  Pairs that the union sketches
+    put more than MARGIN below ALIKE are not verified: of pairs exactly at ALIKE about one in fifty is lost by that, of
+    those above 0.6 none that counts.
+
+    Texts without words have no copies.  Null texts are empty, rows with a null doc_id are left
+    out.  Rows that repeat a doc_id with the same text are one document; with different texts they are documents of
+    their own, each with its own group (a row for each group of the doc_id).  Ties
+    can't arise: the least doc_id stays, of several texts of it the one of the least hash.  An empty table gives an empty result."""
+    own = members(docs)
+    return own.join(classes(docs, own).where("copies > 1"), "body").select("doc_id", "keeper", "copies", "root").distinct().drop("root")
 
 
 def pairs(docs: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of all verified pairs of documents with different words, for tests and reports."""
-    sketch = sketches(docs).where(F.size("values") > 0).withColumn("id", F.min("doc_id").over(Window.partitionBy("body"))).where("doc_id = id")
-    distinct = cut(sketch.select("id", "values"))
-    bodies = texts(docs).withColumnRenamed("doc_id", "id")
-    return verified(likely(all_pairs(prefix_lists(distinct, ALIKE - MARGIN)), distinct, ALIKE - MARGIN), bodies)
+    """(a, b, jaccard) of all verified pairs of different texts, each by its least doc_id, for tests and reports."""
+    distinct = standing(docs)
+    sketch = distinct.select("id", "values")
+    bodies = versions(docs).join(distinct.select("id", "doc_id", "body"), ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select("id", "text")
+    made = verified(likely(all_pairs(prefix_lists(sketch, ALIKE - MARGIN)), sketch, ALIKE - MARGIN), bodies)
+    name = distinct.select("id", "doc_id")
+    named = made.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that groups() joins to a lesser doc_id; all columns stay.
-
-    Of rows that repeat a doc_id one stays.  Rows with a null doc_id can't be told apart and all stay."""
-    drop = groups(docs).where("doc_id <> keeper").select(F.col("doc_id").alias("__gl_drop"))
-    kept = docs.join(drop, F.col("doc_id").cast("bigint") == F.col("__gl_drop"), "left_anti")
-    # the anti-join has brought the rows of a doc_id together, so this moves nothing again
-    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("__gl_row", apart).dropDuplicates(["doc_id", "__gl_row"]).drop("__gl_row")
+    """docs with one document of each group of groups(), that of the least doc_id; all columns stay.
+
+    Rows that repeat a doc_id with the same text are copies too and one stays, that of the least other columns (those that
+    have an order); with different texts that aren't near copies all stay.  Rows with a null doc_id can't be told
+    apart and all stay, as do all rows whose text has no words."""
+    drop = classes(docs, members(docs)).select(F.col("body").alias("__gl_body"), F.col("keeper").alias("__gl_keeper"), (F.col("body") == F.col("keeper_body")).alias("__gl_own"), F.col("twice").alias("__gl_twice"))
+    keyed = docs.withColumns({"__gl_body": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))), "__gl_doc": F.col("doc_id").cast("bigint")})
+    kept = keyed.join(drop, "__gl_body", "left").where("__gl_doc is null or __gl_keeper is null or (__gl_own and __gl_doc = __gl_keeper)")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeats = F.col("__gl_doc").isNotNull() & F.coalesce(F.col("__gl_twice"), F.lit(False))
+    order = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant", "interval", "calendarinterval")]
+    one = kept.where(repeats).groupBy("__gl_body", "__gl_doc").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("__gl_row"))
+    return kept.where(~repeats).select(*columns).unionByName(one.select("__gl_row.*"))

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 def prefix_lists(sketches: DataFrame, share: float) -> DataFrame:
     """(value, id) that may prove a pair sharing ``share`` of the larger sketch's values.
 
-    ``sketches``: (id bigint, values array<bigint> without repeats)."""
+    ``sketches``: (id bigint, values array<bigint> without repeats).  How many sketches have a value is summed before
+    anything moves and joined back, so a value that all have is no single task's matter."""
     posting = sketches.select("id", F.size("values").alias("size"), F.explode("values").alias("value"))
-    counted = posting.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("df > 1")
-    of_id = Window.partitionBy("id")
+    frequent = posting.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    counted = posting.join(frequent, "value")
+    of_id = Window.partitionBy("id")  # as many rows as a sketch has values
     # values that no other sketch has are the rarest: they come first and need not be kept
     placed = counted.withColumn("alone", F.col("size") - F.count(F.lit(1)).over(of_id)).withColumn(
         "place", F.row_number().over(of_id.orderBy("df", "value")) + F.col("alone")
@@ -28,8 +30,8 @@ def prefix_lists(sketches: DataFrame, share: float) -> DataFrame:
 
 def star_pairs(lists: DataFrame) -> DataFrame:
     """Each id of a list with the list's least: (a, b), a < b, once each."""
-    least = F.min("id").over(Window.partitionBy("value"))
-    return lists.select(least.alias("a"), F.col("id").alias("b")).where("a < b").distinct()
+    least = lists.groupBy("value").agg(F.min("id").alias("a"))
+    return lists.join(least, "value").select("a", F.col("id").alias("b")).where("a < b").distinct()
 
 
 def all_pairs(lists: DataFrame) -> DataFrame:

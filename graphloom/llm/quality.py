@@ -8,13 +8,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import texts
+from .base import cut, texts
 from .text import Words, chunks, span_hashes
 
 FEATURES = (
     "upper_share", "digit_share", "symbol_share", "pipe_share", "stop_mark_share", "space_share", "other_share",
     "log_words", "word_length", "distinct_words", "distinct_lines", "line_length", "marks_a_word", "capital_words",
 )
+#: Words are hashed to so many more features: the root of the share of the text's words that fall there.
+WORD_FEATURES = 64
+WIDTH = len(FEATURES) + WORD_FEATURES
 _CLASSES = ("A-Z", "0-9", "#$%&*@~^<>{}[]=+_\\/`", "|", "!?", " \t\n\r")
 
 
@@ -32,7 +35,7 @@ _TABLE = _class_table()
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """One row of FEATURES for every text."""
+    """One row for every text: FEATURES, then WORD_FEATURES for what its words are."""
     raw = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(raw, pa.ChunkedArray):
         raw = raw.combine_chunks()
@@ -42,7 +45,7 @@ def features(column: pa.Array) -> np.ndarray:
     offs = offs - offs[0]
     size = np.maximum(np.diff(offs), 1)
     kind = _TABLE[data]
-    out = np.zeros((n, len(FEATURES)))
+    out = np.zeros((n, WIDTH))
 
     def count(mask: np.ndarray) -> np.ndarray:
         total = np.zeros(len(mask) + 1, np.int64)
@@ -80,16 +83,18 @@ def features(column: pa.Array) -> np.ndarray:
     out[:, 11] = np.log1p(size / np.maximum(lines, 1))
     out[:, 12] = np.minimum((counts[2] + counts[3] + counts[4]) / some, 5)
     out[:, 13] = counts[0] / some
+    place = row * WORD_FEATURES + (words.hashes >> np.uint64(32)).astype(np.int64) % WORD_FEATURES
+    out[:, len(FEATURES) :] = np.sqrt(np.bincount(place, minlength=n * WORD_FEATURES).reshape(n, WORD_FEATURES) / some[:, None])
     return out
 
 
 def fit(x: np.ndarray, good: np.ndarray, pairs: int, seed: int, rounds: int = 30, ridge: float = 1e-3) -> dict:
     """Weights w that maximise the mean of log sigmoid(w . (x_good - x_bad)) over seeded pairs."""
-    centre = x.mean(0) if len(x) else np.zeros(len(FEATURES))
-    scale = x.std(0) if len(x) else np.ones(len(FEATURES))
+    centre = x.mean(0) if len(x) else np.zeros(WIDTH)
+    scale = x.std(0) if len(x) else np.ones(WIDTH)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = (x - centre) / scale
-    w = np.zeros(len(FEATURES))
+    w = np.zeros(WIDTH)
     up, down = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
     if len(up) and len(down):
         rng = np.random.default_rng(seed)
@@ -121,9 +126,8 @@ def score_udf(model: dict):
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, pairs: int = 50_000, seed: int = 17) -> dict:
     """Fits the ranking on at most ``max_labelled`` labelled documents (those with the least hash of
     their id) and at most ``pairs`` seeded preference pairs: any document of quality 1 is preferred to
-    any of quality 0.  The share of quality 0 is counted over all labels."""
+    any of quality 0.  A document that is labelled twice is of quality 1 if any label says so."""
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    low, total = known.agg(F.sum(1 - F.col("quality")), F.count(F.lit(1))).first()
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_labelled)
     labelled = texts(docs).join(F.broadcast(chosen), "doc_id")  # no more than max_labelled rows of two numbers
 
@@ -136,28 +140,40 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, pairs:
                 )
 
     rows = labelled.mapInArrow(extract, "doc_id bigint, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
+    x = np.array(rows["x"].tolist(), float).reshape(len(rows), WIDTH)
     good = rows["quality"].to_numpy()
     model = fit(x, good, pairs, seed)
-    scores = (x - model["centre"]) @ (model["weights"] / model["scale"])
-    return model | {"junk_share": (low or 0) / total if total else 0.0, "good_scores": np.sort(scores[good == 1])}
-
-
-def threshold(scores: DataFrame, model: dict, spare: float = 0.005) -> float:
-    """The least score that is kept: the quantile of all documents' scores at the share of junk among
-    the labels, but never above the quantile ``spare`` of the good examples."""
-    if not model["junk_share"] or not len(model["good_scores"]) or not np.any(model["weights"]):
+    return model | {"junk_share": rejected((x - model["centre"]) @ (model["weights"] / model["scale"]), good)}
+
+
+def rejected(scores: np.ndarray, good: np.ndarray) -> float:
+    """The share of the labelled documents below the score that parts the labels with the fewest errors (ties: the
+    least score); 0 without labels of both kinds."""
+    if not len(scores) or good.min() == good.max():
+        return 0.0
+    order = np.argsort(scores, kind="stable")
+    s, g = scores[order], good[order]
+    # n documents are rejected: the good ones among them and the others' bad ones are errors
+    errors = np.concatenate([[0], np.cumsum(g)]) + np.concatenate([np.cumsum((1 - g)[::-1])[::-1], [0]])
+    edge = np.r_[True, s[1:] > s[:-1], True]  # equal scores go together
+    return float(np.flatnonzero(edge)[np.argmin(errors[edge])] / len(s))
+
+
+def threshold(scores: DataFrame, model: dict) -> float:
+    """The least score that is kept: the quantile of all documents' scores (column __gl_score) at the share that is
+    rejected of the labelled ones."""
+    if not model["junk_share"]:
         return float("-inf")
-    level = scores.agg(F.percentile_approx("score", float(model["junk_share"]), 100_000)).first()[0]
-    return float("-inf") if level is None else min(float(level), float(np.quantile(model["good_scores"], spare)))
+    level = scores.agg(F.percentile_approx("__gl_score", float(model["junk_share"]), 100_000)).first()[0]
+    return float("-inf") if level is None else float(level)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(docs with column ``__gl_score``, threshold).  All columns of docs are kept as they are."""
+    """(docs with column ``__gl_score``, threshold).  All columns of docs are kept as they are.  Texts are scored once:
+    what is scored is written to the shared folder, as the threshold follows from all scores."""
     model = train(docs, labels)
-    score = score_udf(model)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("__gl_score", score(text)), threshold(docs.select(score(text).alias("score")), model)
+    scored = cut(docs.withColumn("__gl_score", score_udf(model)(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    return scored, threshold(scored, model)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,5 +188,8 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def ranked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, threshold) of the documents that are kept; see keep()."""
-    scored, least = classify(docs.select("doc_id", "text"), labels)
+    model = train(docs, labels)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    scored = cut(docs.select("doc_id", score_udf(model)(text).alias("__gl_score")))
+    least = threshold(scored, model)
     return scored.where(F.col("__gl_score") >= least).select("doc_id", F.col("__gl_score").alias("score"), F.lit(least).alias("threshold"))
