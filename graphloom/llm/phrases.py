@@ -37,12 +37,13 @@ def parse(words: list[int]) -> set[int]:
 
 
 def signatures(phrases: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of HASHES minima for each set of phrases (offsets as usual; no set may be empty)."""
-    out = np.empty((len(offsets) - 1, HASHES), np.uint32)
+    """One row of HASHES minima for each set of phrases (offsets as usual; no set may be empty), of each its low 16 bits:
+    two that differ agree in those once in 65 536 times."""
+    out = np.empty((len(offsets) - 1, HASHES), np.uint16)
     mixed = mix(phrases.astype(np.uint64))
     with np.errstate(over="ignore"):
         for j in range(HASHES):
-            out[:, j] = np.minimum.reduceat(((mixed * _ODD[j]) >> np.uint64(32)).astype(np.uint32), offsets[:-1])
+            out[:, j] = np.minimum.reduceat(((mixed * _ODD[j]) >> np.uint64(32)).astype(np.uint32), offsets[:-1]).astype(np.uint16)
     return out
 
 
@@ -59,16 +60,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 sets = [parse(short[offs[i] : offs[i + 1]].tolist()) for i in range(part.num_rows)]
                 sizes = np.array([len(s) for s in sets])
                 some = sizes > 0
-                signed = np.zeros((0, HASHES), np.uint32)
+                signed = np.zeros((0, HASHES), np.uint16)
                 if some.any():
                     flat = np.fromiter((x for s in sets for x in s), np.uint64, int(sizes.sum()))
                     signed = signatures(flat, np.concatenate([[0], np.cumsum(sizes[some])]))
                 number = np.zeros(part.num_rows + 1, np.int64)
                 number[1:] = np.cumsum(some * HASHES)
-                lists = pa.ListArray.from_arrays(pa.array(number, pa.int32(), mask=np.append(~some, False)) if len(some) else pa.array([0], pa.int32()), pa.array(signed.reshape(-1).view(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(number, pa.int32(), mask=np.append(~some, False)) if len(some) else pa.array([0], pa.int32()), pa.array(signed.reshape(-1).view(np.int16)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int32()), lists], names=["doc_id", "phrases", "signature"])
 
-    return texts(docs).mapInArrow(make, "doc_id bigint, phrases int, signature array<int>")
+    return texts(docs).mapInArrow(make, "doc_id bigint, phrases int, signature array<smallint>")
 
 
 def banded(standing: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def banded(standing: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             column = batch.column("signature")
-            signed = column.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64).reshape(-1, HASHES)
+            signed = column.flatten().to_numpy(zero_copy_only=False).view(np.uint16).astype(np.uint64).reshape(-1, HASHES)
             times = len(_BANDS)
             with np.errstate(over="ignore"):
                 band = mix(mix(signed[:, _BANDS[:, 0]]) + signed[:, _BANDS[:, 1]])
@@ -99,7 +100,7 @@ def banded(standing: DataFrame) -> DataFrame:
 
 
 def candidates(standing: DataFrame) -> DataFrame:
-    """(a, b), a < b: standing documents with an equal band that may be alike, once each."""
+    """(a, b), a < b: standing documents with an equal band that may be alike, once each; those of an a lie together."""
     rows = banded(standing)
     left = rows.select("band", F.col("id").alias("a"), *[F.col(f"n{k}").alias(f"x{k}") for k in range(3)])
     right = rows.select("band", F.col("id").alias("b"), *[F.col(f"n{k}").alias(f"y{k}") for k in range(3)])
@@ -111,7 +112,7 @@ def candidates(standing: DataFrame) -> DataFrame:
         some = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
         return F.lit(16) - F.bit_count(some.bitwiseAND(ones))
 
-    return left.join(right, "band").where((F.col("a") < F.col("b")) & (equal(0) + equal(1) + equal(2) >= int(ALIKE * HASHES))).select("a", "b").distinct()
+    return left.join(right, "band").where((F.col("a") < F.col("b")) & (equal(0) + equal(1) + equal(2) >= int(ALIKE * HASHES))).select("a", "b").repartition("a").distinct()
 
 
 def alike(docs: DataFrame) -> DataFrame:
@@ -132,7 +133,8 @@ def alike(docs: DataFrame) -> DataFrame:
     # copies are found by the hashes alone; signatures move once, and only those that stand for others
     own = signed.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
     classes = cut(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    standing = signed.join(classes.select(F.col("id").alias("doc_id"), "h1", "h2", "copies"), ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), "signature", "copies")
+    # written, so that both sides of the bands' join read one exchange of them
+    standing = cut(signed.join(classes.select(F.col("id").alias("doc_id"), "h1", "h2", "copies"), ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), "signature", "copies"))
     pairs = candidates(standing.select("id", "signature"))
     left = standing.select(F.col("id").alias("a"), F.col("signature").alias("x"), F.col("copies").alias("na"))
     right = standing.select(F.col("id").alias("b"), F.col("signature").alias("y"), F.col("copies").alias("nb"))
