@@ -5,6 +5,8 @@ equal when all four are: ``"1"`` isn't ``"1"^^xsd:int``."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +57,12 @@ def typed(s: Column, p: Column | str, o: Column, datatype: str) -> Column:
 
 
 def flatten(df: DataFrame, *statements: Column) -> DataFrame:
-    """A row for each of the statements made of each row, but for those without subject or object."""
-    return df.select(F.inline(F.array(*statements))).where("s is not null and o is not null")
+    """A row for each of the statements made of each row, but for those without subject or object.
+
+    Every statement is a branch of its own: a constant predicate is a literal there, so the optimiser drops the
+    branches that a query's predicate excludes and brings conditions on columns to the scans of the others."""
+    branches = [df.select(x.alias("__x")).select("__x.*").where("s is not null and o is not null") for x in statements]
+    return reduce(DataFrame.unionByName, branches)
 
 
 def distinct(statements: DataFrame) -> DataFrame:

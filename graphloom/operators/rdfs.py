@@ -10,6 +10,9 @@ from ..functions.terms import CLASS, DOMAIN, RANGE, RDF, RDFS, SUB_CLASS, SUB_PR
 from ..sources.shared import cut
 
 
+SCHEMA = (SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE)
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(a, b) for every path of one edge or more in (a, b).
 
@@ -46,38 +49,61 @@ def _triples(pairs: DataFrame, predicate: str) -> DataFrame:
     return pairs.select(s.alias("s"), s_kind.alias("s_kind"), F.lit(predicate).alias("p"), o.alias("o"), o_kind.alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"), F.lit(True).alias("inferred"))
 
 
+def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A schema table, to be sent to all executors if it has no more rows than that; else Spark joins it by its size."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _closed_schema(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(schema statements, closure of sub-properties).  A sub-property of a schema predicate makes schema statements
+    itself, so this is repeated until none is new; without such a sub-property the statements are read once."""
+    schema = cut(t.distinct(statements.where(F.col("p").isin(*SCHEMA))))
+    while True:
+        properties = closure(_edges(schema, SUB_PROPERTY))
+        own = properties.where(F.col("b").isin(*SCHEMA) & ~F.col("a").isin(*SCHEMA) | F.col("a").isin(*SCHEMA) & F.col("b").isin(*SCHEMA) & (F.col("a") != F.col("b")))
+        if own.isEmpty():
+            return schema, properties
+        more = statements.unionByName(schema).join(_small(own.select(F.col("a").alias("p"), F.col("b").alias("__p"))), "p").withColumn("p", F.col("__p")).select(*t.KEY).withColumn("inferred", F.lit(True))
+        after = cut(t.distinct(schema.unionByName(more)))
+        fresh = after.select(*t.KEY[:4]).join(schema.select(*t.KEY[:4]), t.KEY[:4], "left_anti").isEmpty()
+        schema = after
+        if fresh:
+            return schema, properties
+
+
 def infer(statements: DataFrame, axioms: bool = False) -> DataFrame:
     """The statements and all that follows by domain, range, sub-properties, sub-classes and the types that
     they give (rdfs2, 3, 5, 7, 9, 11).  Explicit statements stay explicit; inferred ones are marked.
 
-    A sub-property of subClassOf makes class edges itself, so the schema part is repeated until no schema
-    statement is new.  Only schema statements are closed; instance statements are joined with the closures
-    once a round, and types once at the end.  With ``axioms`` every resource is a Resource, every class a
+    Only schema statements are closed, in rounds; what they say of a predicate (its super-properties, and the classes
+    of its subjects and objects with all that are above) is put in small tables, which the instance statements are joined with
+    once.  Nothing else is written, so a query of the result reads what it asks for.  With ``axioms`` every resource is a Resource, every class a
     sub-class of itself and of Resource, every property a sub-property of itself."""
-    base = cut(t.distinct(statements))
-    schema = [SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE]
-    known = base
-    while True:
-        properties = closure(_edges(known, SUB_PROPERTY))
-        inherited = known.join(properties.where("a <> b").select(F.col("a").alias("p"), F.col("b").alias("__p")), "p").withColumn("p", F.col("__p")).select(*t.KEY).withColumn("inferred", F.lit(True))
-        with_p = _triples(properties, SUB_PROPERTY)
-        after = cut(t.distinct(known.unionByName(inherited).unionByName(with_p)))
-        # another round only if a schema statement is new: it can bring more
-        new_schema = after.where(F.col("p").isin(*schema)).join(known.where(F.col("p").isin(*schema)), t.KEY[:4], "left_anti")
-        done = new_schema.isEmpty()
-        known = after
-        if done:
-            break
+    schema, properties = _closed_schema(statements)
+    classes = closure(_edges(schema, SUB_CLASS))
+    above = classes.select(F.col("a").alias("__c"), F.col("b").alias("__up"))
+
+    def with_upper(pairs: DataFrame) -> DataFrame:
+        return pairs.union(pairs.select("a", F.col("b").alias("__c")).join(above, "__c").select("a", F.col("__up").alias("b"))).distinct()
+
+    def of_predicate(kind: str) -> DataFrame:
+        """(p, b): the classes that a predicate gives, by itself and by its super-properties."""
+        stated = _edges(schema, kind)
+        inherited = properties.select("a", F.col("b").alias("__p")).join(stated.withColumnRenamed("a", "__p"), "__p").select("a", "b")
+        return _small(cut(with_upper(stated.union(inherited))).withColumnRenamed("a", "p"))
+
     links = F.col("o_kind").isin(URI, t.BNODE)
-    subject, target = _name("s", "s_kind").alias("a"), _name("o", "o_kind").alias("a")
-    by_domain = known.join(_edges(known, DOMAIN).select(F.col("a").alias("p"), "b"), "p").select(subject, "b")
-    by_range = known.where(links).join(_edges(known, RANGE).select(F.col("a").alias("p"), "b"), "p").select(target, "b")
-    typed = by_domain.union(by_range).union(_edges(known, TYPE)).distinct()
-    classes = closure(_edges(known, SUB_CLASS))
-    upper = typed.select("a", F.col("b").alias("__c")).join(classes.select(F.col("a").alias("__c"), "b"), "__c").select("a", "b")
-    of_types = _triples(typed.union(upper), TYPE)
-    everything = known.unionByName(of_types).unionByName(_triples(classes, SUB_CLASS))
+    upper = _small(cut(properties.where("a <> b").select(F.col("a").alias("p"), F.col("b").alias("__p"))))
+    inherited = statements.join(upper, "p").withColumn("p", F.col("__p")).select(*t.KEY).withColumn("inferred", F.lit(True))
+    by_domain = statements.join(of_predicate(DOMAIN), "p").select(_name("s", "s_kind").alias("a"), "b")
+    by_range = statements.where(links).join(of_predicate(RANGE), "p").select(_name("o", "o_kind").alias("a"), "b")
+    below = _small(cut(properties.where(F.col("b") == TYPE).select(F.col("a").alias("p"))))
+    stated = _edges(statements, TYPE).union(_edges(statements.join(below, "p", "left_semi").withColumn("p", F.lit(TYPE)), TYPE))
+    up = stated.select("a", F.col("b").alias("__c")).join(_small(above), "__c").select("a", F.col("__up").alias("b"))
+    of_types = _triples(by_domain.union(by_range).union(stated).union(up), TYPE)
+    everything = statements.select(*t.SCHEMA.names).unionByName(inherited).unionByName(schema).unionByName(_triples(properties, SUB_PROPERTY)).unionByName(of_types).unionByName(_triples(classes, SUB_CLASS))
     if axioms:
+        known = everything
         resources = known.select("s", "s_kind").union(known.where(links).select("o", "o_kind")).union(known.select("p", F.lit(URI))).distinct()
         everything = everything.unionByName(_axiom(resources, TYPE, F.lit(RDFS + "Resource")))
         named = known.where((F.col("p") == TYPE) & (F.col("o") == CLASS)).select("s", "s_kind").union(known.where(F.col("p") == SUB_CLASS).select(F.inline(F.array(F.struct("s", "s_kind"), F.struct(F.col("o").alias("s"), F.col("o_kind").alias("s_kind")))))).distinct()
