@@ -20,6 +20,8 @@ from . import frontier
 
 DOCUMENT = "base_url string, url string, hostid int, pattern string, html string"
 RETRIES, PAUSE, TIMEOUT, AGENT = 2, 5.0, 10.0, robots.AGENT
+#: The error of a server that answers but has no such page; any other one is taken for no answer.
+NOT_FOUND = "not found"
 #: A fetcher: (hostid, urlid, url) -> (urlid, html, error); html is null where it failed.
 Fetcher = Callable[[DataFrame], DataFrame]
 
@@ -29,7 +31,7 @@ def snapshot(pages: DataFrame) -> Fetcher:
     held = pages.select(urls.once(urls.normalize(F.col("url")), "url"), "html").where("url is not null").groupBy("url").agg(F.min("html").alias("html"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        return wanted.join(held, "url", "left").select("urlid", "html", F.when(F.col("html").isNull(), "not found").alias("error"))
+        return wanted.join(held, "url", "left").select("urlid", "html", F.when(F.col("html").isNull(), NOT_FOUND).alias("error"))
 
     return fetch
 
@@ -89,6 +91,17 @@ def new_links(documents: DataFrame, hosts: DataFrame, patterns: DataFrame, table
     return valid, frontier.add(table, valid)
 
 
+def hosts_down(fetched: DataFrame, fetcher: Fetcher) -> DataFrame:
+    """(hostid, down) of the hosts whose fetches all got no answer: down if their own address gets none either."""
+    silent = lambda: F.col("html").isNull() & (F.coalesce("error", F.lit("")) != NOT_FOUND)
+    lost = fetched.where("allowed").groupBy("hostid", "address").agg(F.bool_and(silent()).alias("lost")).where("lost").select("hostid", "address")
+    if lost.isEmpty():
+        return lost.select("hostid", F.lit(True).alias("down"))
+    lost = cut(lost)
+    probed = fetcher(lost.select("hostid", F.col("hostid").cast("bigint").alias("urlid"), F.col("address").alias("url")))
+    return probed.select(F.col("urlid").cast("int").alias("hostid"), silent().alias("down"))
+
+
 @dataclass
 class Round:
     """What one round of a crawl made: entity pages, the frontier after it, and its counters."""
@@ -102,7 +115,8 @@ def crawl_round(table: DataFrame, locks: DataFrame, hosts: DataFrame, patterns:
     """Fetches the next URLs of every host, finds their links and updates the frontier.
 
     ``policies``: (hostid, policy); what they forbid isn't fetched and isn't an error.  Where every fetch of a
-    host failed the host is taken to be down: its URLs aren't penalised.  Only entity pages are documents."""
+    host got no answer (an error other than NOT_FOUND), the host's own address is tried: if that gets none either the host is
+    down and its URLs aren't penalised.  Only entity pages are documents."""
     batch = frontier.prefetch(table, locks, patterns, now, size, source_first).join(hosts, "hostid").withColumn("url", urls.join_host(F.col("address"), F.col("path")))
     if policies is not None and not ignore_policy:
         batch = batch.join(policies, "hostid", "left").withColumn("allowed", robots.allows(F.col("path"), F.col("policy"))).drop("policy")
@@ -110,9 +124,8 @@ def crawl_round(table: DataFrame, locks: DataFrame, hosts: DataFrame, patterns:
         batch = batch.withColumn("allowed", F.lit(True))
     batch = cut(batch)
     fetched = cut(batch.join(fetcher(batch.where("allowed").select("hostid", "urlid", "url")), "urlid", "left"))
-    of_host = Window.partitionBy("hostid")
-    down = F.coalesce(F.bool_and(F.when(F.col("allowed"), F.col("html").isNull())).over(of_host), F.lit(False))
-    outcome = fetched.select("urlid", "allowed", F.col("html").isNotNull().alias("fetched"), (~F.col("allowed") | F.col("html").isNotNull() | down).alias("ok"))
+    outcome = fetched.select("hostid", "urlid", "allowed", F.col("html").isNotNull().alias("fetched")).join(hosts_down(fetched, fetcher), "hostid", "left")
+    outcome = outcome.select("urlid", "allowed", "fetched", (~F.col("allowed") | F.col("fetched") | F.coalesce("down", F.lit(False))).alias("ok"))
     pages = fetched.where("html is not null").select(F.col("address").alias("base_url"), "url", "hostid", "pattern", "html", "entity")
     valid, fresh = new_links(pages, hosts, patterns, table)
     after = frontier.visit(table, outcome, now).unionByName(fresh)
@@ -122,12 +135,12 @@ def crawl_round(table: DataFrame, locks: DataFrame, hosts: DataFrame, patterns:
     return Round(pages.where("entity").drop("entity"), cut(after), counters)
 
 
-def crawl(table: DataFrame, hosts: DataFrame, patterns: DataFrame, fetcher: Fetcher, now: int, rounds: int | None = None, **options) -> Round:
+def crawl(table: DataFrame, hosts: DataFrame, patterns: DataFrame, fetcher: Fetcher, now: int, rounds: int | None = None, locks: DataFrame | None = None, **options) -> Round:
     """Rounds until one brings no page (or as many as are asked for), all at the time ``now``.
 
     What was fetched isn't due again at that time, so this ends; hosts that are down are left for another
-    crawl.  The documents of all rounds are together; a round's rows are written to the shared folder."""
-    locks = table.sparkSession.createDataFrame([], frontier.LOCK)
+    crawl.  What ``locks`` hold is others' and left alone.  The documents of all rounds are together; a round's rows are written to the shared folder."""
+    locks = table.sparkSession.createDataFrame([], frontier.LOCK) if locks is None else locks
     documents, counters, k = None, None, 0
     while rounds is None or k < rounds:
         made = crawl_round(table, locks, hosts, patterns, fetcher, now, **options)

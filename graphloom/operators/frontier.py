@@ -88,8 +88,8 @@ def add(table: DataFrame, entries: DataFrame, global_path_unique: bool = False)
     """New rows for entries (hostid, path, update_freq, entity, pattern) that the table lacks, never visited.
 
     A path is unique in its host; with ``global_path_unique`` in all hosts.  Of equal entries the one with
-    the least (hostid, pattern) counts.  Numbers go on from the greatest urlid, in the order of host and path:
-    the ranks are made within ranges, so no single task sorts all new URLs."""
+    the least (hostid, pattern) counts.  Numbers go on from the greatest urlid, in the order of number(): no single
+    task sorts all new URLs, so they don't follow host and path."""
     key = ["path"] if global_path_unique else ["hostid", "path"]
     value = ["update_freq", "entity", "pattern"]
     fresh = entries.groupBy(*key).agg(F.min(F.struct("hostid", "pattern", "entity", "update_freq")).alias("e"))
@@ -103,8 +103,8 @@ def add(table: DataFrame, entries: DataFrame, global_path_unique: bool = False)
 
 
 def number(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``n`` = 1, 2, ... in the order of the columns, over groups of their hash first: each group is ranked for
-    itself and the groups' sizes, which are few, give the starts."""
+    """``n`` = 1, 2, ... by groups of the columns' hash and in their order inside: each group is ranked for
+    itself and the groups' sizes, which are few, give the starts.  The same rows get the same numbers."""
     grouped = rows.withColumn("__g", F.pmod(F.xxhash64(*order), F.lit(256)))
     ranked = grouped.withColumn("__r", F.row_number().over(Window.partitionBy("__g").orderBy(*order)))
     sizes = grouped.groupBy("__g").agg(F.count(F.lit(1)).alias("__c"))

@@ -100,7 +100,7 @@ class Tee(Stage):
 
 @dataclass
 class FanIn(Stage):
-    """Gives what comes in together with other branches' rows."""
+    """Gives the rows of its branches together, each made of what comes in; what comes in itself is given where a branch does."""
 
     branches: list[Callable[[DataFrame | None], DataFrame]] = field(default_factory=list)
 

@@ -9,33 +9,52 @@ from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
 
 _EXTENSIONS = {".nt": "NTRIPLES", ".ttl": "NTRIPLES", ".n3": "NTRIPLES", ".rdf": "RDFXML", ".rdfs": "RDFXML", ".owl": "RDFXML", ".xml": "RDFXML"}
-_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9\-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
-_LITERAL = r'^"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9\-]+)|\^\^<([^>]*)>)?$'
+_HEAD = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+"
+_TAIL = r"\s*\.\s*(?:#[^\"]*)?$"
+_LINK = _HEAD + r"(<[^>]*>|_:\S+)" + _TAIL
+#: The text runs to the line's last quotation mark, so a long one is matched without a step for each sign.
+_LITERAL = _HEAD + r'"(.*)"(?:@([A-Za-z0-9\-]+)|\^\^<([^>]*)>)?' + _TAIL
+
+
+def unescaped(s: Column) -> Column:
+    """The text of an N-Triples literal: all escapes are undone in one go, so that an escaped backslash protects what follows it."""
+    held = F.replace(s, F.lit("\\\\"), F.lit("\x00"))
+    for mark, sign in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"'), ("\\b", "\b"), ("\\f", "\f"), ("\\'", "'")):
+        held = F.replace(held, F.lit(mark), F.lit(sign))
+    token = F.regexp_extract_all(held, F.lit(r"(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|[^\\]+|\\)"), F.lit(1))
+
+    def one(x: Column) -> Column:
+        # four digits are one UTF-16 sign, or half of one; eight are UTF-32
+        code = F.unhex(F.substring(x, F.lit(3), F.length(x)))
+        return F.when(x.rlike(r"^\\u.{4}$"), F.decode(code, "UTF-16BE")).when(x.rlike(r"^\\U.{8}$"), F.decode(code, "UTF-32")).otherwise(x)
+
+    held = F.when(F.contains(held, F.lit("\\")), F.array_join(F.transform(token, one), "")).otherwise(held)
+    return F.replace(held, F.lit("\x00"), F.lit("\\"))
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Statements of N-Triples files (and of Turtle in that form); other lines are left out."""
-    row = spark.read.text(path).select(F.col("value").alias("l")).where(F.col("l").rlike(_LINE))
-    s, o = F.regexp_extract("l", _LINE, 1), F.regexp_extract("l", _LINE, 3)
+    """Statements of N-Triples files (and of Turtle in that form).  Lines that are neither statements, comments nor blank
+    make it fail, so that nothing is lost unseen: Turtle with prefixes must be converted first."""
+    row = spark.read.text(path).select(F.col("value").alias("l")).where(~F.col("l").rlike(r"^\s*(#.*)?$"))
 
     def bare(x):
         return F.when(x.startswith("<"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(F.substring(x, F.lit(3), F.length(x)))
 
-    lexical = F.regexp_extract(o, _LITERAL, 1)
-    for mark, sign in ((r"\\n", "\n"), (r"\\r", "\r"), (r"\\t", "\t"), (r'\\"', '"'), (r"\\\\", r"\\")):
-        lexical = F.regexp_replace(lexical, mark, sign)
-    literal = o.startswith('"')
+    literal, link = F.col("l").rlike(_LITERAL), F.col("l").rlike(_LINK)
+    known = row.withColumn("literal", literal & ~link).where(F.when(literal | link, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not an N-Triples statement: "), F.substring("l", 1, 200))).cast("boolean")))
+    s, o = F.regexp_extract("l", _HEAD, 1), F.regexp_extract("l", _LINK, 3)
     none_if_empty = lambda c: F.when(c != "", c)
-    return row.select(
-        bare(s).alias("s"), F.when(s.startswith("<"), t.URI).otherwise(t.BNODE).alias("s_kind"), F.regexp_extract("l", _LINE, 2).alias("p"),
-        F.when(literal, lexical).otherwise(bare(o)).alias("o"), F.when(literal, t.LITERAL).when(o.startswith("<"), t.URI).otherwise(t.BNODE).alias("o_kind"),
-        none_if_empty(F.regexp_extract(o, _LITERAL, 3)).alias("o_dt"), none_if_empty(F.regexp_extract(o, _LITERAL, 2)).alias("o_lang"), F.lit(False).alias("inferred"),
+    return known.select(
+        bare(s).alias("s"), F.when(s.startswith("<"), t.URI).otherwise(t.BNODE).alias("s_kind"), F.regexp_extract("l", _HEAD, 2).alias("p"),
+        F.when(F.col("literal"), unescaped(F.regexp_extract("l", _LITERAL, 3))).otherwise(bare(o)).alias("o"),
+        F.when(F.col("literal"), t.LITERAL).when(o.startswith("<"), t.URI).otherwise(t.BNODE).alias("o_kind"),
+        F.when(F.col("literal"), none_if_empty(F.regexp_extract("l", _LITERAL, 5))).alias("o_dt"), F.when(F.col("literal"), none_if_empty(F.regexp_extract("l", _LITERAL, 4))).alias("o_lang"), F.lit(False).alias("inferred"),
     )
 
 

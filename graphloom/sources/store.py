@@ -30,8 +30,8 @@ class ParquetStore:
 
     def _sorted(self, statements: DataFrame) -> DataFrame:
         order = [c for c in self.indexes.lower() if c in "spo"]
-        # a predicate's rows may be most of the store: they go to many tasks, by subject
-        return statements.select(t.SCHEMA.names).repartition("p", F.pmod(F.xxhash64("s"), F.lit(16))).sortWithinPartitions("p", *[c for c in order if c != "p"])
+        # a predicate's rows may be most of the store: the rows are brought together by it in tasks of about one size
+        return statements.select(t.SCHEMA.names).hint("rebalance", "p").sortWithinPartitions("p", *[c for c in order if c != "p"])
 
     def replace(self, statements: DataFrame) -> None:
         """Keeps these statements only.  They may come from the store itself: the new table is complete

@@ -79,7 +79,7 @@ class StatsListener(StreamingQueryListener):
 
 
 def status(query: StreamingQuery | None) -> str:
-    """NOT_STARTED, RUNNING, STOPPING (no new data comes, some is being worked on) or STOPPED."""
+    """NOT_STARTED, RUNNING or STOPPED (stop() returns only when what has arrived is worked off)."""
     if query is None:
         return "NOT_STARTED"
     if not query.isActive:
