@@ -15,15 +15,37 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the folder all executors share and goes on from there.
 
-    ``spark.checkpoint.dir`` is the cluster's setting and is used as it is; a folder of our own is
-    made only where none is set, as in tests on one machine."""
+    ``spark.checkpoint.dir`` is the cluster's setting and is used as it is.  Only a local session, as in tests on one
+    machine, may go without: a folder is made for it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-")
-        context.setCheckpointDir(folder)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
 
 
+#: A sieve is so many buckets of 32 768 bits: 8 MB at most, whatever is put in it.
+_BUCKETS = 2048
+
+
+def sieve(keys: DataFrame, *columns: str) -> DataFrame:
+    """A bit for each key (by its hash): what sifted() tells rows by that surely have none of the keys."""
+    h = F.xxhash64(*columns)
+    bit = F.pmod(F.shiftrightunsigned(h, 20), F.lit(32_768))
+    return cut(keys.groupBy(F.pmod(h, F.lit(_BUCKETS)).cast("int").alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits")))
+
+
+def sifted(df: DataFrame, bits: DataFrame, *columns: str) -> DataFrame:
+    """df with the boolean ``__maybe``: false only for rows whose columns are none of the sieve's keys.  With many keys
+    more rows are true, all in the end; so a join by the keys follows, and only what it moves depends on this."""
+    h = F.xxhash64(*columns)
+    keyed = df.withColumns({"__bucket": F.pmod(h, F.lit(_BUCKETS)).cast("int"), "__bit": F.pmod(F.shiftrightunsigned(h, 20), F.lit(32_768)).cast("int")})
+    hit = F.expr("coalesce(shiftright(cast(conv(hex(substring(__bits, __bit div 8 + 1, 1)), 16, 10) as int), __bit % 8) & 1 = 1, false)")
+    return keyed.join(F.broadcast(bits), "__bucket", "left").withColumn("__maybe", hit).drop("__bucket", "__bit", "__bits")  # 8 MB at most
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (and columns named) alone, so that no other column of the input can clash.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, texts
+from .base import cut, sieve, sifted, texts
 from .components import components
 from .overlap import all_pairs, prefix_lists, star_pairs
 from .text import Words, chunks, windows
@@ -128,10 +128,12 @@ def standing(docs: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): pairs of near copies among the standing texts that join all that are near copies of each other."""
-    sketch = distinct.select("id", "values")
-    lists = cut(prefix_lists(sketch, ALIKE - MARGIN))
-    listed = distinct.select("id", "doc_id", "body").join(lists.select("id").distinct(), "id", "left_semi")
-    bodies = cut(versions(docs).join(listed, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select("id", "text"))
+    lists = cut(prefix_lists(distinct.select("id", "values"), ALIKE - MARGIN))
+    # from here on only texts that are in a list matter
+    listed = cut(distinct.join(lists.select("id").distinct(), "id", "left_semi"))
+    sketch = listed.select("id", "values")
+    rows = sifted(versions(docs), sieve(listed, "doc_id", "body"), "doc_id", "body").where("__maybe").drop("__maybe")
+    bodies = cut(rows.join(listed.select("id", "doc_id", "body"), ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select("id", "text"))
     first = cut(verified(likely(star_pairs(lists), sketch, ALIKE - MARGIN), bodies).select("a", "b"))
     joined = cut(components(first))
     labelled = lists.join(joined, "id", "left").select("value", "id", F.coalesce("root", "id").alias("root"))
@@ -198,10 +200,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     have an order); with different texts that aren't near copies all stay.  Rows with a null doc_id can't be told
     apart and all stay, as do all rows whose text has no words."""
     drop = classes(docs, members(docs)).select(F.col("body").alias("__gl_body"), F.col("keeper").alias("__gl_keeper"), (F.col("body") == F.col("keeper_body")).alias("__gl_own"), F.col("twice").alias("__gl_twice"))
+    drop = cut(drop)
     keyed = docs.withColumns({"__gl_body": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))), "__gl_doc": F.col("doc_id").cast("bigint")})
-    kept = keyed.join(drop, "__gl_body", "left").where("__gl_doc is null or __gl_keeper is null or (__gl_own and __gl_doc = __gl_keeper)")
+    # rows that surely have no copy aren't moved
+    keyed = sifted(keyed, sieve(drop, "__gl_body"), "__gl_body")
+    asked = F.col("__maybe") & F.col("__gl_doc").isNotNull()
+    kept = keyed.where(asked).join(drop, "__gl_body", "left").where("__gl_keeper is null or (__gl_own and __gl_doc = __gl_keeper)")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    repeats = F.col("__gl_doc").isNotNull() & F.coalesce(F.col("__gl_twice"), F.lit(False))
+    repeats = F.coalesce(F.col("__gl_twice"), F.lit(False))
     order = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant", "interval", "calendarinterval")]
     one = kept.where(repeats).groupBy("__gl_body", "__gl_doc").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("__gl_row"))
-    return kept.where(~repeats).select(*columns).unionByName(one.select("__gl_row.*"))
+    return keyed.where(~asked).select(*columns).unionByName(kept.where(~repeats).select(*columns)).unionByName(one.select("__gl_row.*"))

@@ -168,22 +168,17 @@ def threshold(scores: DataFrame, model: dict) -> float:
     return float("-inf") if level is None else float(level)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(docs with column ``__gl_score``, threshold).  All columns of docs are kept as they are.  Texts are scored once:
-    what is scored is written to the shared folder, as the threshold follows from all scores."""
-    model = train(docs, labels)
-    scored = cut(docs.withColumn("__gl_score", score_udf(model)(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    return scored, threshold(scored, model)
-
-
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that score at least the threshold, with all their columns.
 
     Null and empty texts are scored like any other (as a text of no words).  Rows without a doc_id are
     scored and kept or rejected by their text too.  Ties with the threshold are kept; repeated rows are
     judged alike.  Without labels of both kinds nothing is rejected.  An empty table gives an empty one."""
-    scored, least = classify(docs, labels)
-    return scored.where(F.col("__gl_score") >= least).drop("__gl_score")
+    model = train(docs, labels)
+    score, text = score_udf(model), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # the threshold follows from all scores; to score again takes less than to write all documents in between
+    least = threshold(docs.select(score(text).alias("__gl_score")), model)
+    return docs.where(score(text) >= least)
 
 
 def ranked(docs: DataFrame, labels: DataFrame) -> DataFrame:
