@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +14,54 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the folder all executors share and goes on from there.
-
-    ``spark.checkpoint.dir`` is the cluster's setting and is used as it is.  Only a local session, as in tests on one
-    machine, may go without: a folder is made for it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, the cluster's setting, as it is.  Only a local session, as
+    in tests on one machine, may go without: a folder is made for it."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
+        found = tempfile.mkdtemp(prefix="graphloom-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes the rows to the folder all executors share and goes on from there."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
+class Sent:
+    """An object that is sent to the executors once, by value with its class, so that they need no copy of this package.
+    Each task makes it anew from the bytes; forget() gives its memory back."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent, self._made = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return self._sent
+
+    def __setstate__(self, sent):
+        self._sent, self._made = sent, None
+
+    @property
+    def value(self):
+        if self._made is None:
+            self._made = pickle.loads(self._sent.value)
+        return self._made
+
+    def forget(self) -> None:
+        self._made = None
+        if hasattr(self._sent, "_value"):
+            del self._sent._value
+
+    def destroy(self) -> None:
+        self._sent.destroy()
+
+
 #: A sieve is so many buckets of 32 768 bits: 8 MB at most, whatever is put in it.
 _BUCKETS = 2048
 
