@@ -286,6 +286,17 @@ def test_short_items_stand_in_a_row(spark):
     assert got == {(1, 1, "verbatim"), (4, 2, "verbatim")}
 
 
+def test_function_words_are_no_paraphrase(spark):
+    """An item that is half function words, in that order in any text: chance, not a leak."""
+    rng = random.Random(40)
+    common = ["the", "of", "is", "to", "that", "was"]
+    text_ = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else f"u{rng.randrange(10**6)}" for _ in range(n))
+    item = "the heatou ononat to to the anor shheed eronnten onnt thin ndonsh of is the was that of"
+    docs = [(k, text_(400)) for k in range(60)] + [(100, text_(100) + " " + item + " " + text_(100))]
+    got = {r.doc_id for r in decontaminate.leaks(frame(spark, docs), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert got == {100}
+
+
 def test_leaks_against_all_pairs(spark):
     """Every window against every passage: what the judge would find without a candidate search."""
     rng = random.Random(33)
@@ -296,7 +307,11 @@ def test_leaks_against_all_pairs(spark):
         take = items[k % 30][1].split()
         keep = [w for w in take if rng.random() < (k // 30 + 1) * 0.45]  # less and more than half of the words
         docs.append((k, " ".join(own[:60] + keep + own[60:])))
-    want = set()
+    want, df = set(), {}
+    for _, text_ in docs:
+        for x in set(brute.reference_words(text_)):
+            df[x] = df.get(x, 0) + 1
+    heavy = lambda words_: sum(math.log(1 + 61 / (df.get(x, 0) + 1)) for x in words_)
     for i, text_ in docs:
         w = brute.reference_words(text_)
         for j, item in items:
@@ -306,7 +321,7 @@ def test_leaks_against_all_pairs(spark):
                 share = brute.longest_common_subsequence(p, region) / len(p)
                 answered = sum(x in set(region) for x in p[-8:]) / 8
                 window = set(w[low : low + 64])
-                if (share >= decontaminate.VERBATIM or share >= decontaminate.PARAPHRASE and answered >= decontaminate.ANSWER) and sum(x in window for x in p) >= decontaminate.OVERLAP * len(p):
+                if (share >= decontaminate.VERBATIM or share >= decontaminate.PARAPHRASE and answered >= decontaminate.ANSWER and heavy(x for x in p if x in set(region)) >= decontaminate.WEIGHT * heavy(p)) and sum(x in window for x in p) >= decontaminate.OVERLAP * len(p):
                     want.add((i, j))
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert want <= got and len(want) >= 30 and len(got) <= len(want) + 5
