@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import texts
+from .base import cut, sieve, sifted, texts
 from .spans import MIN_WORDS, merged, several
 from .text import Words, chunks, span_hashes
 
@@ -86,7 +86,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     alone don't count, and rows that repeat a doc_id are one document.  Null texts are empty; texts of
     fewer than MIN_WORDS words have no spans; null doc_ids are left out; an empty table gives an empty
     result.  Ties can't arise."""
-    shared = several(anchors(docs), "anchor").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    windows = windows_near(texts(docs).join(shared, "doc_id").select("doc_id", "text", "places"))
+    shared = cut(several(anchors(docs), "anchor").groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+    # texts that surely have no shared anchor aren't moved
+    asked = sifted(texts(docs), sieve(shared, "doc_id"), "doc_id").where("__maybe").drop("__maybe")
+    windows = windows_near(asked.join(shared, "doc_id").select("doc_id", "text", "places"))
     hits = several(windows, "window")
     return merged(hits.select("doc_id", "low", F.col("low").alias("high"), "first_doc"))

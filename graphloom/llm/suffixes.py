@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, texts
+from .base import cut, sieve, sifted, texts
 from .spans import MIN_WORDS, merged
 from .text import Words, chunks, mix, span_hashes
 
@@ -262,7 +262,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     runs = cut(runs)
     fields = ("start", "number", "bucket", "content", "least", "most")
     chosen = runs.where("chosen").groupBy("doc_id", "version").agg(F.collect_list(F.struct(*fields)).alias("runs"))
-    joined = versions(docs).join(chosen, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+    # texts of which no string is taken aren't moved
+    asked = sifted(versions(docs), sieve(runs.where("chosen"), "doc_id", "version"), "doc_id", "version").where("__maybe").drop("__maybe")
+    joined = asked.join(chosen, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
     found = shared_runs(symbols_of(joined.select("text", "runs")))
     # strings of several documents are repeated from end to end; others where the common prefixes say so
     whole = runs.where("least < most").select("doc_id", F.col("start").alias("low"), (F.col("start") + F.col("number") - 1).alias("high"), F.col("least").alias("first_doc"))
