@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,7 +106,7 @@ def open_store(spark: SparkSession, properties: dict[str, str], working_dir: str
 
     An inferencer that can't be found is left out, with a warning as the third value."""
     p = dict(properties)
-    if "dataDir" in p and "://" not in p["dataDir"]:
+    if "dataDir" in p and not re.match(r"[A-Za-z][\w+.\-]+:", p["dataDir"]):
         p["dataDir"] = os.path.join(working_dir, p["dataDir"].replace("\\", "/"))
     name = p.get("connFactory", "parquet")
     made = BACKENDS[name](spark, p) if name in BACKENDS else _load(name)(spark, p)
