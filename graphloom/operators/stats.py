@@ -37,7 +37,7 @@ def by_group(updates: DataFrame, function: str, value: str = "value", group: str
 
 
 def running(updates: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """Every update with the sum, mean and mean interval that its key has had so far."""
+    """Every update with the sum, the mean and the number of updates that its key has had so far."""
     so_far = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return updates.withColumns({"running_sum": F.sum(value).over(so_far), "running_average": F.avg(value).over(so_far), "running_count": F.count(F.lit(1)).over(so_far)})
 
