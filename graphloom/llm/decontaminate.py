@@ -20,15 +20,15 @@ BLOCK = 32
 #: Dimensions of the latent space, extra ones while it is found, rounds of the iteration, and the places that words
 #: are hashed to, so that the axes have one size whatever the vocabulary.
 RANK, EXTRA, ROUNDS, PLACES = 96, 8, 3, 1 << 16
-#: Documents (those with the least hash of their id) whose passages shape the latent space beside the benchmark's.
-SAMPLE = 1_000
+#: Passages of documents that a task multiplies in a round; places that at least one in OFTEN passages have are multiplied as dense columns.
+PASSAGES, OFTEN = 200_000, 64
 #: Candidates: windows whose latent cosine with a passage is COSINE, and those that have OVERLAP of its words.
 COSINE, OVERLAP = 0.6, 0.4
 #: A leak: the common subsequence is VERBATIM of the passage, or PARAPHRASE of it with ANSWER of its last ANSWER_WORDS words
 #: and, as words that all texts have agree by chance, WEIGHT of the passage by TF-IDF.
 VERBATIM, PARAPHRASE, ANSWER, ANSWER_WORDS, WEIGHT = 0.75, 0.5, 0.75, 8, 0.4
 #: Words of the benchmark that are held and sent at once; a larger one goes in parts, one in memory at a time, with the
-#: same results.  Distinct words whose documents are counted in one pass.
+#: same results.  Distinct words that are sent at once, likewise.
 PART_WORDS, TERMS_AT_ONCE = 1_000_000, 8_000_000
 
 
@@ -288,34 +288,96 @@ def passages(benchmark: DataFrame) -> DataFrame:
     return items.mapInArrow(divide, "item_id bigint, short boolean, words array<bigint>").where("size(words) > 0")
 
 
-def frequencies(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, df) of the vocabulary's terms (term bigint) that documents have.  The terms are sent, TERMS_AT_ONCE in
-    one pass over the documents."""
-    number = max(1, -(-vocabulary.count() // TERMS_AT_ONCE))
-    out = None
-    for n in range(number):
-        some = vocabulary.where(F.pmod(F.xxhash64("term"), F.lit(number)) == n).toArrow().column("term").to_numpy().view(np.uint64)
-        sent = Sent(docs.sparkSession, np.sort(some))
+def scanned(docs: DataFrame, slices: list) -> DataFrame:
+    """(term, df, ends, words) in one pass: of each task's documents, how many have each term of the vocabulary; and, in other
+    rows, the terms' numbers in every passage of the documents that has any (bytes of int32; ends: where the passages end).
 
-        def count(batches, sent=sent):
-            terms = sent.value
-            df = np.zeros(len(terms), np.int64)
-            for batch in batches:
-                for part in chunks(batch, "text"):
-                    if not len(terms):
-                        continue
-                    words = Words(part.column("text"))
-                    k = np.searchsorted(terms, words.hashes)
-                    k[k == len(terms)] = 0
-                    at = np.flatnonzero(terms[k] == words.hashes)
-                    row = np.searchsorted(words.offsets, at, "right") - 1
-                    df += np.bincount(distinct(row * len(terms) + k[at]) % len(terms), minlength=len(terms))
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(terms[at].view(np.int64)), pa.array(df[at])], names=["term", "df"])
-
-        one = texts(docs).mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-        out = one if out is None else out.union(one)
-    return out
+    slices: the vocabulary's terms (sorted hashes), sent in parts, numbered one part after the other."""
+
+    def scan(batches):
+        df = [None] * len(slices)
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                words = Words(part.column("text"))
+                places, numbers, start = [], [], 0
+                for n, sent in enumerate(slices):
+                    terms = sent.value
+                    at, k = _matched(words, terms)
+                    if df[n] is None:
+                        df[n] = np.zeros(len(terms), np.int64)
+                    if len(at):
+                        row = np.searchsorted(words.offsets, at, "right") - 1
+                        df[n] += np.bincount(distinct(row * len(terms) + k) % len(terms), minlength=len(terms))
+                    places.append(at)
+                    numbers.append(k + start)
+                    start += len(terms)
+                    _forget(slices, sent)
+                at, numbers = np.concatenate(places), np.concatenate(numbers)
+                if not len(at):
+                    continue
+                if len(slices) > 1:
+                    order = np.argsort(at, kind="stable")
+                    at, numbers = at[order], numbers[order]
+                # as passages() divides a text
+                length = np.diff(words.offsets)
+                pieces = -(-length // PASSAGE)
+                row = np.searchsorted(words.offsets, at, "right") - 1
+                passage = np.cumsum(pieces)[row] - pieces[row] + ((at - words.offsets[row] + 1) * pieces[row] - 1) // length[row]
+                ends = np.append(np.flatnonzero(passage[1:] != passage[:-1]) + 1, len(passage))
+                packed = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (ends, numbers)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *packed], names=["term", "df", "ends", "words"])
+        for sent, counted in zip(slices, df, strict=True):
+            if counted is not None:
+                at = np.flatnonzero(counted)
+                terms = sent.value[at].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counted[at]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], names=["term", "df", "ends", "words"])
+                _forget(slices, sent)
+
+    return texts(docs).mapInArrow(scan, "term bigint, df bigint, ends binary, words binary")
+
+
+def _unit_rows(row: np.ndarray, place: np.ndarray, weight: np.ndarray, number: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, weight) with the weights of a row's place added up and those of a row made of length 1, by row and place."""
+    cell = row * np.int64(wide) + place
+    order = np.argsort(cell, kind="stable")
+    cell, weight = cell[order], weight[order]
+    head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    weight = np.add.reduceat(weight, head) if len(head) else weight
+    row, place = cell[head] // wide, cell[head] % wide
+    norm = np.sqrt(np.bincount(row, weight * weight, number))
+    return row, place, weight / np.maximum(norm[row], 1e-12)
+
+
+_PACKED = "number int, ends binary, places binary, weights binary"
+
+
+def _pack(row: np.ndarray, place: np.ndarray, weight: np.ndarray, number: int) -> pa.RecordBatch:
+    """Rows of a matrix in one record: where they end, their places (65 536 at most) and weights."""
+    parts = np.searchsorted(row, np.arange(number), "right").astype(np.int32), place.astype(np.uint16), weight.astype(np.float32)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["number", "ends", "places", "weights"])
+
+
+def document_rows(scan: DataFrame, vocabularies: list, used: np.ndarray) -> DataFrame:
+    """Packed rows of TF-IDF, of length 1, for every passage that scanned() found."""
+    axes = Axes(used, np.zeros((len(used), 0)))
+    finder = Sent(scan.sparkSession, axes)
+
+    def make(batches):
+        for batch in batches:
+            for ends, words in zip(batch.column("ends"), batch.column("words"), strict=True):
+                ends, numbers = np.frombuffer(ends.as_py(), np.int32), np.frombuffer(words.as_py(), np.int32)
+                place, weight, start = np.zeros(len(numbers), np.int64), np.zeros(len(numbers)), 0
+                for v in vocabularies:
+                    terms, idf = v.value
+                    mine = np.flatnonzero((numbers >= start) & (numbers < start + len(terms)))
+                    k = numbers[mine] - start
+                    place[mine], weight[mine] = finder.value.rows(terms)[k], idf[k]
+                    start += len(terms)
+                    _forget(vocabularies, v)
+                row = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
+                yield _pack(*_unit_rows(row, place, weight, len(ends), len(used)), len(ends))
+
+    return scan.where("ends is not null").select("ends", "words").mapInArrow(make, _PACKED)
 
 
 def orthogonal(block: np.ndarray) -> np.ndarray:
@@ -325,42 +387,70 @@ def orthogonal(block: np.ndarray) -> np.ndarray:
     return block @ (vectors * np.where(good, 1 / np.sqrt(np.where(good, values, 1)), 0))
 
 
-def latent_axes(rows: DataFrame, used: np.ndarray, seed: int = 5) -> Axes:
+def _runs(x: np.ndarray, size: int = 2_000):
+    """(values, heads, low, high): x in slices low:high of about so many entries, with the values of their runs and where these begin in
+    the slice.  A value's run is never divided."""
+    heads = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    first = 0
+    while first < len(heads):
+        last = max(int(np.searchsorted(heads, heads[first] + size)), first + 1)
+        low, high = int(heads[first]), int(heads[last]) if last < len(heads) else len(x)
+        yield x[heads[first:last]], heads[first:last] - low, low, high
+        first = last
+
+
+def latent_axes(rows: DataFrame, used: np.ndarray, seed: int = 5, documents: DataFrame | None = None, scale: float = 1.0) -> Axes:
     """Leading right singular vectors of a TF-IDF matrix A, by randomised subspace iteration.
 
-    ``rows``: (words array<bigint>, idf array<double>, scale double), a row of A each, which is made of length ``scale``.  Each
+    ``rows``: (words array<bigint>, idf array<double>, scale double), a row of A each, which is made of length ``scale``;
+    ``documents``: more rows, packed, each made of length ``scale``.  Each
     round multiplies a block of vectors by A'A: partitions give their rows' share, summed by place; the driver makes
     the block orthogonal.  The block has RANK + EXTRA numbers for each place that is used, PLACES at most, whatever there is
     of rows and words."""
     width = RANK + EXTRA
+    finder = Sent(rows.sparkSession, Axes(used, np.zeros((len(used), 0))))
+
+    def pack(batches):
+        for batch in batches:
+            column = batch.column("words")
+            offs = column.offsets.to_numpy()
+            place = finder.value.rows(column.values.to_numpy()[offs[0] : offs[-1]].view(np.uint64))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+            row, place, weight = _unit_rows(row, place, batch.column("idf").flatten().to_numpy(), batch.num_rows, len(used))
+            yield _pack(row, place, weight * batch.column("scale").to_numpy()[row], batch.num_rows)
+
+    packed = cut(rows.mapInArrow(pack, _PACKED)).withColumn("square", F.lit(1.0))
+    if documents is not None:
+        packed = packed.union(documents.withColumn("square", F.lit(scale * scale)))
 
     def times(block: np.ndarray) -> np.ndarray:
-        sent = Sent(rows.sparkSession, Axes(used, block))
+        sent = Sent(rows.sparkSession, block.astype(np.float32))
 
         def share(batches):
-            axes, total = sent.value, np.zeros((len(used), width))
-            block, wide = axes.values, np.int64(len(used))
+            block, total = sent.value, np.zeros((len(used), width))
             for batch in batches:
-                column = batch.column("words")
-                offs = column.offsets.to_numpy()
-                place = axes.rows(column.values.to_numpy()[offs[0] : offs[-1]].view(np.uint64))
-                weight = batch.column("idf").flatten().to_numpy()
-                row = np.repeat(np.arange(batch.num_rows), np.diff(offs))
-                cell, inverse = np.unique(row * wide + place, return_inverse=True)
-                weight = np.bincount(inverse, weight, len(cell))
-                row, place = cell // wide, cell % wide
-                norm = np.sqrt(np.bincount(row, weight * weight, batch.num_rows))
-                weight = weight / np.maximum(norm[row], 1e-12) * batch.column("scale").to_numpy()[row]
-                heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-                for low in range(0, len(heads), 2000):
-                    a, z = heads[low], heads[low + 2000] if low + 2000 < len(heads) else len(row)
-                    own, w = heads[low : low + 2000] - a, weight[a:z].astype(np.float32)[:, None]
-                    latent = np.add.reduceat(w * block[place[a:z]], own, axis=0)
-                    back = np.repeat(np.arange(len(own)), np.diff(np.append(own, z - a)))
-                    order = np.argsort(place[a:z], kind="stable")
-                    at = place[a:z][order]
-                    head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    total[at[head]] += np.add.reduceat((w * latent[back])[order], head, axis=0)
+                for record in batch.to_pylist():
+                    number = record["number"]
+                    ends, place, weight = (np.frombuffer(record[c], t) for c, t in (("ends", np.int32), ("places", np.uint16), ("weights", np.float32)))
+                    row = np.repeat(np.arange(number), np.diff(np.append(0, ends)))
+                    # columns that many rows have, as a dense matrix; the others entry by entry
+                    often = np.flatnonzero(np.bincount(place, minlength=len(used)) * OFTEN >= max(number, 1))
+                    column = np.full(len(used), -1)
+                    column[often] = np.arange(len(often))
+                    column = column[place]
+                    dense = np.zeros((number, len(often)), np.float32)
+                    many = np.flatnonzero(column >= 0)
+                    dense[row[many], column[many]] = weight[many]
+                    latent = dense @ block[often]
+                    few = np.flatnonzero(column < 0)
+                    row, place, weight = row[few], place[few], weight[few, None]
+                    for own, other, low, high in _runs(row):
+                        latent[own] += np.add.reduceat(weight[low:high] * block[place[low:high]], other, axis=0)
+                    total[often] += record["square"] * (dense.T @ latent)
+                    order = np.argsort(place, kind="stable")
+                    row, place, weight = row[order], place[order], weight[order]
+                    for own, other, low, high in _runs(place):
+                        total[own] += record["square"] * np.add.reduceat(weight[low:high] * latent[row[low:high]], other, axis=0)
             at = np.flatnonzero(np.abs(total).sum(1))
             ends = np.arange(len(at) + 1, dtype=np.int32) * width
             for low in range(0, len(at), 4096):
@@ -377,7 +467,7 @@ def latent_axes(rows: DataFrame, used: np.ndarray, seed: int = 5) -> Axes:
                     ends = np.arange(len(value) + 1, dtype=np.int32) * width
                     yield pa.RecordBatch.from_arrays([batch.column("place"), pa.ListArray.from_arrays(pa.array(ends), pa.array(value.ravel()))], names=["place", "value"])
 
-        shares = rows.mapInArrow(share, "place int, value array<double>").groupBy("place").agg(F.collect_list("value").alias("values"))
+        shares = packed.mapInArrow(share, "place int, value array<double>").groupBy("place").agg(F.collect_list("value").alias("values"))
         summed = shares.mapInArrow(add, "place int, value array<double>").toArrow()
         out = np.zeros_like(block)
         if summed.num_rows:
@@ -393,14 +483,6 @@ def latent_axes(rows: DataFrame, used: np.ndarray, seed: int = 5) -> Axes:
     return Axes(used, block @ vectors[:, ::-1][:, :RANK])
 
 
-def sampled(docs: DataFrame, vocabulary: DataFrame, seed: int = 11) -> DataFrame:
-    """(words): the passages of the SAMPLE documents with the least hash, in the vocabulary's words."""
-    ids = texts(docs).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE)
-    some = texts(docs).join(F.broadcast(ids), "doc_id")  # SAMPLE numbers at most
-    found = passages(some.select(F.col("doc_id").alias("item_id"), "text")).select(F.monotonically_increasing_id().alias("n"), F.explode("words").alias("term"))
-    return found.join(vocabulary, "term").groupBy("n").agg(F.collect_list("term").alias("words"), F.collect_list("idf").alias("idf"))
-
-
 def prepare(docs: DataFrame, benchmark: DataFrame) -> tuple[list, list, object]:
     """(parts, vocabularies, axes), broadcast: the benchmark's passages with document frequencies counted over all
     documents, its terms with their weights, and the latent space, which is the same however many parts there are."""
@@ -408,8 +490,15 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> tuple[list, list, object]:
     divided = cut(passages(benchmark).withColumn("n", F.monotonically_increasing_id()))
     vocabulary = divided.select(F.explode("words").alias("term")).distinct()
     number = texts(docs).count()
+    slices, terms = [], vocabulary.count()
+    pieces = max(1, -(-terms // TERMS_AT_ONCE))
+    for k in range(pieces):
+        some = vocabulary.where(F.pmod(F.xxhash64("term"), F.lit(pieces)) == k).toArrow().column("term").to_numpy().view(np.uint64)
+        slices.append(Sent(spark, np.sort(some)))
+    scan = cut(scanned(docs, slices))
+    frequencies = scan.where("term is not null").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log(1 + (F.lit(number) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
-    known = cut(vocabulary.join(frequencies(docs, vocabulary), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"), idf.alias("idf")))
+    known = cut(vocabulary.join(frequencies, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"), idf.alias("idf")))
     placed = divided.select("n", "item_id", "short", F.posexplode("words").alias("at", "term")).join(known, "term")
     ordered = placed.groupBy("n", "item_id", "short").agg(F.sort_array(F.collect_list(F.struct("at", "term", "df", "idf"))).alias("w"))
     ready = cut(ordered.select("n", "item_id", "short", F.col("w.term").alias("words"), F.col("w.df").alias("df"), F.col("w.idf").alias("idf")))
@@ -417,13 +506,19 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> tuple[list, list, object]:
     if not total:
         return [], [], Sent(spark, Axes(np.zeros(0, np.int64), np.zeros((0, 1))))
     used = np.sort(known.select((F.shiftrightunsigned("term", 48) % PLACES).cast("int").alias("place")).distinct().toArrow().column("place").to_numpy())
-    sample = cut(sampled(docs, known.select("term", "idf")))
-    drawn, more = sample.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    vocabularies = []
+    for k in range(len(slices)):
+        table = known.where(F.pmod(F.xxhash64("term"), F.lit(len(slices))) == k).select("term", "idf").toArrow()
+        terms, idf = table.column("term").to_numpy().view(np.uint64), table.column("idf").to_numpy()
+        order = np.argsort(terms)  # as in slices
+        vocabularies.append(Sent(spark, (terms[order], idf[order].astype(np.float32))))
+    documents = cut(document_rows(scan, vocabularies, used))
+    drawn = documents.agg(F.sum("number")).first()[0] or 0
+    # a task's share is as large as the vocabulary, so there are as few of them as the passages allow
+    documents = documents.coalesce(max(spark.sparkContext.defaultParallelism, -(-drawn // PASSAGES)))
     # both kinds of rows have the same weight in all
-    scale = math.sqrt(every / max(drawn, 1))
-    rows = ready.select("words", "idf", F.lit(1.0).alias("scale")).union(sample.select("words", "idf", F.lit(scale).alias("scale")))
-    # a partition's share is as large as the vocabulary, so there are as few of them as the words allow
-    axes = latent_axes(cut(rows.repartition(max(1, min(512, (total + (more or 0)) // 200_000)))), used)
+    rows = ready.select("words", "idf", F.lit(1.0).alias("scale"))
+    axes = latent_axes(cut(rows.repartition(max(1, min(512, total // 200_000)))), used, documents=documents, scale=math.sqrt(every / max(drawn, 1)))
     parts, pieces = [], -(-total // PART_WORDS)
     for k in range(pieces):
         table = ready.where(F.pmod(F.xxhash64("n"), F.lit(pieces)) == k).orderBy("item_id", "n").toArrow().combine_chunks()
@@ -431,12 +526,6 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> tuple[list, list, object]:
         part = Part(table.column("item_id").to_numpy(), [x.values.to_numpy().view(np.uint64) for x in words], [x.values.to_numpy() for x in df], table.column("short").to_numpy(zero_copy_only=False).astype(bool), number)
         part.project(axes)
         parts.append(Sent(spark, part))
-    vocabularies, slices = [], -(-known.count() // TERMS_AT_ONCE)
-    for k in range(slices):
-        table = known.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == k).select("term", "idf").toArrow()
-        terms, idf = table.column("term").to_numpy().view(np.uint64), table.column("idf").to_numpy()
-        order = np.argsort(terms)
-        vocabularies.append(Sent(spark, (terms[order], idf[order].astype(np.float32))))
     return parts, vocabularies, Sent(spark, axes)
 
 
@@ -457,7 +546,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, kind, common_share, answer_share, cosine, start_word): every document that holds a
     benchmark item's passage, with the passage's best match.
 
-    The latent space is the leading singular vectors of TF-IDF passages, the benchmark's and those of SAMPLE documents, in
+    The latent space is the leading singular vectors of TF-IDF passages, the benchmark's and those of all documents, in
     the benchmark's words, with the frequencies of all documents.  Every window of two blocks of every document is folded
     into it; candidates are the passages whose cosine with it is COSINE, and, so that none is lost whose words are there,
     those of whose words it has OVERLAP, as inverted lists tell exactly.  The longest common subsequence with the words around

@@ -365,6 +365,43 @@ def test_latent_axes(spark):
     assert np.allclose(dense @ axes.values @ axes.values.T, dense, atol=1e-4)  # fewer rows than axes, so they are whole
 
 
+@pytest.mark.parametrize("at_once", [8_000_000, 60])
+def test_all_documents_shape_the_latent_space(spark, monkeypatch, at_once):
+    """The axes are the singular vectors of every passage of every document, over 1 000 of them, and of the benchmark's."""
+    monkeypatch.setattr(decontaminate, "TERMS_AT_ONCE", at_once)
+    monkeypatch.setattr(decontaminate, "RANK", 6)
+    rng = random.Random(50)
+    items = [(k, " ".join(words(rng, 20, 150))) for k in range(12)]
+    topics = [[f"w{x}" for x in rng.sample(range(120), 12)] for _ in range(6)]
+    docs = [(k, " ".join(rng.choice(topics[k * 6 // 1500]) for _ in range(rng.choice([5, 40, 100])))) for k in range(1500)] + [(2000, ""), (2001, None)]
+    _, _, sent = decontaminate.prepare(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    axes = sent.value
+    known = {w for _, t in items for w in t.split()}
+    df = {w: sum(w in set((t or "").split()) for _, t in docs) for w in known}
+    place = {w: int(axes.rows(text.Words(pa.array([w])).hashes)[0]) for w in known}
+
+    def rows(texts_):
+        out = []
+        for t in texts_:
+            w = (t or "").split()
+            n = max(-(-len(w) // decontaminate.PASSAGE), 1)
+            for k in range(n):
+                v = np.zeros(len(axes.values))
+                for x in w[k * len(w) // n : (k + 1) * len(w) // n]:
+                    if x in known:
+                        v[place[x]] += math.log(1 + (len(docs) + 1) / (df[x] + 1))
+                if v.any():
+                    out.append(v / np.linalg.norm(v))
+        return np.array(out)
+
+    a, b = rows(t for _, t in items), rows(t for _, t in docs)
+    matrix = np.vstack([a, b * math.sqrt(len(a) / len(b))])
+    caught = lambda v: np.linalg.norm(matrix @ v) ** 2 / np.linalg.norm(matrix) ** 2
+    best = np.linalg.svd(matrix, full_matrices=False)[2][:6].T
+    assert np.allclose(axes.values.T @ axes.values, np.eye(6), atol=1e-3)
+    assert caught(axes.values) > 0.995 * caught(best) > 0.3
+
+
 # -- 2: toxicity
 def _tf_idf(docs, labelled):
     """doc_id -> {word: weight}, unit vectors over the labelled documents' words."""
