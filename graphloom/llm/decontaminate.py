@@ -20,8 +20,9 @@ BLOCK = 32
 #: Dimensions of the latent space, extra ones while it is found, rounds of the iteration, and the places that words
 #: are hashed to, so that the axes have one size whatever the vocabulary.
 RANK, EXTRA, ROUNDS, PLACES = 96, 8, 3, 1 << 16
-#: Passages of documents that a task multiplies in a round; places that at least one in OFTEN passages have are multiplied as dense columns.
-PASSAGES, OFTEN = 200_000, 64
+#: Passages of documents that a task multiplies in a round, and about how many of them at once; places that at least one
+#: in OFTEN of these have, and words that one in OFTEN blocks of documents have, are multiplied as dense columns.
+PASSAGES, GROUP, OFTEN = 200_000, 1_000, 128
 #: Candidates: windows whose latent cosine with a passage is COSINE, and those that have OVERLAP of its words.
 COSINE, OVERLAP = 0.6, 0.4
 #: A leak: the common subsequence is VERBATIM of the passage, or PARAPHRASE of it with ANSWER of its last ANSWER_WORDS words
@@ -68,11 +69,12 @@ class Part:
         ends = np.cumsum([0, *map(len, words)])
         self.passages = [inverse[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         self.enough, self.first_of = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        owner, term, weight, cells, times = [], [], [], [], []
+        owner, term, weight, cells, times, answers = [], [], [], [], [], []
         for n, p in enumerate(self.passages):
             own, number = np.unique(p, return_counts=True)
             cells.append(own + n * len(self.terms))
             times.append(number)
+            answers.append(np.bincount(np.searchsorted(own, p[-ANSWER_WORDS:]), minlength=len(own)))
             self.enough[n] = len(p) if short[n] else math.ceil(OVERLAP * len(p))
             self.first_of[n] = (self.enough[n] + 1) // 2
             order = np.argsort(count[own], kind="stable")
@@ -82,9 +84,14 @@ class Part:
             owner.append(np.full(int(listed.sum()), n))
             term.append(own[listed])
             weight.append(number[listed])
-        owner, term, weight, self.cells, self.times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, term, weight, cells, times))
+        owner, term, weight, self.cells, self.times, self.answers = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, term, weight, cells, times, answers))
+        # a cell is a word of a passage: how often it is there, how often in the answer, and its TF-IDF weight
+        self.weights = self.times * self.idf[self.cells % max(len(self.terms), 1)].astype(np.float64)
+        self.weight = np.bincount(self.cells // max(len(self.terms), 1), self.weights, len(words))
+        self.marks = np.zeros(1 << (8 * len(self.cells)).bit_length(), np.bool_)
+        self.marks[self.cells & (len(self.marks) - 1)] = True
         order = np.argsort(term, kind="stable")
-        self.holders, self.heavy = owner[order], weight[order]
+        self.holders, self.heavy = owner[order], weight[order].astype(np.float64)
         self.lists = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
 
     def project(self, axes: Axes) -> None:
@@ -125,8 +132,8 @@ def _by_words(part: Part, window: np.ndarray, term: np.ndarray):
     ends = np.cumsum(size)
     low = 0
     while low < len(window):
-        # whole windows, of about a million entries of the lists
-        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 1_000_000, "right"))
+        # whole windows, of about 100 000 entries of the lists
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 100_000, "right"))
         high = int(np.searchsorted(window, window[min(max(high, low + 1), len(window)) - 1], "right"))
         n = size[low:high]
         of = np.repeat(np.arange(low, high), n)
@@ -134,8 +141,8 @@ def _by_words(part: Part, window: np.ndarray, term: np.ndarray):
         first, passages = int(window[low]), len(part.passages)
         key = (window[of] - first) * passages + part.holders[entry]
         if (int(window[high - 1]) - first + 1) * passages <= 4_000_000:
-            weight = np.bincount(key, part.heavy[entry])
-            found = np.flatnonzero(weight >= np.resize(np.maximum(part.first_of, 1), len(weight)))
+            weight = np.bincount(key, part.heavy[entry], (int(window[high - 1]) - first + 1) * passages)
+            found = np.flatnonzero((weight.reshape(-1, passages) >= np.maximum(part.first_of, 1)).ravel())
         else:
             found, inverse = np.unique(key, return_inverse=True)
             found = found[np.bincount(inverse, part.heavy[entry]) >= part.first_of[found % passages]]
@@ -143,18 +150,22 @@ def _by_words(part: Part, window: np.ndarray, term: np.ndarray):
         low = high
 
 
-def _overlap(part: Part, window: np.ndarray, passage: np.ndarray, begin: np.ndarray, end: np.ndarray, term: np.ndarray) -> np.ndarray:
-    """How many words of each passage are of the terms at begin:end: no common subsequence is longer."""
-    out = np.zeros(len(window), np.int64)
-    for low in range(0, len(window), 20_000):
-        b, size = begin[low : low + 20_000], (end - begin)[low : low + 20_000]
-        which = np.repeat(np.arange(len(b)), size)
-        cell = passage[low : low + 20_000][which] * len(part.terms) + term[np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + b[which]]
-        place = np.searchsorted(part.cells, cell)
+def _overlap(part: Part, passage: np.ndarray, begin: np.ndarray, end: np.ndarray, term: np.ndarray, *measures: np.ndarray) -> list[np.ndarray]:
+    """Of each passage, the sums of the measures (a number for each cell) over those of its words that are of the terms at
+    begin:end.  By part.times it is how many words are there: no common subsequence is longer."""
+    out = [np.zeros(len(passage)) for _ in measures]
+    for low in range(0, len(passage), 4_000):
+        b, size = begin[low : low + 4_000], (end - begin)[low : low + 4_000]
+        at = np.arange(size.sum()) + np.repeat(b - np.cumsum(size) + size, size)
+        cell = np.repeat(passage[low : low + 4_000] * len(part.terms), size) + term[at]
+        maybe = np.flatnonzero(part.marks[cell & (len(part.marks) - 1)])
+        place = np.searchsorted(part.cells, cell[maybe])
         place[place == len(part.cells)] = 0
-        good = part.cells[place] == cell
-        seen = distinct(which[good] * len(part.cells) + place[good])
-        out[low : low + 20_000] = np.bincount(seen // len(part.cells), part.times[seen % len(part.cells)], len(b))
+        good = part.cells[place] == cell[maybe]
+        seen = distinct(np.repeat(np.arange(len(b)), size)[maybe[good]] * len(part.cells) + place[good])
+        which, place = seen // len(part.cells), seen % len(part.cells)
+        for sums, measure in zip(out, measures, strict=True):
+            sums[low : low + 4_000] = np.bincount(which, measure[place], len(b))
     return out
 
 
@@ -171,6 +182,18 @@ def _matched(words: Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[hit], k[hit]
 
 
+def _layers(x: np.ndarray, size: int = 4_000):
+    """Slices of the places of x (values in runs), each with a value once at most: the first of every run, then the second, and so on."""
+    heads = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(heads, len(x)))
+    rank = np.arange(len(x)) - np.repeat(heads, lengths)
+    order, low = np.argsort(rank.astype(np.min_scalar_type(int(lengths.max(initial=0)))), kind="stable"), 0
+    for number in np.bincount(rank).tolist():
+        for a in range(low, low + number, size):
+            yield order[a : min(a + size, low + number)]
+        low += number
+
+
 class Windows:
     """The windows of a chunk of texts: two blocks in a row make one, unless the second belongs to the next text."""
 
@@ -189,7 +212,7 @@ class Windows:
         return self._last[1:]
 
     def block_of(self, at: np.ndarray) -> np.ndarray:
-        row = np.searchsorted(self.words.offsets, at, "right") - 1
+        row = np.repeat(np.arange(len(self.blocks)), np.diff(self.words.offsets))[at]
         return self.first[row] + (at - self.words.offsets[row]) // BLOCK
 
     def fold(self, vocabularies: list, axes: Axes) -> np.ndarray:
@@ -199,12 +222,23 @@ class Windows:
             terms, idf = v.value
             at, k = self.matched(terms)
             block, place = self.block_of(at), axes.rows(terms)
-            low = 0
-            while low < len(at):
-                high = int(np.searchsorted(block, block[min(low + 20_000, len(at)) - 1], "right"))
-                heads = np.flatnonzero(np.r_[True, block[low + 1 : high] != block[low : high - 1]]) + low
-                full[block[heads]] += np.add.reduceat(idf[k[low:high], None] * axes.values[place[k[low:high]]], heads - low, axis=0)
-                low = high
+            # words that many blocks have, as a dense matrix of how often, some blocks at a time
+            often = np.flatnonzero(np.bincount(k, minlength=len(terms)) * OFTEN >= max(len(full), 1))
+            column = np.full(len(terms), -1)
+            column[often] = np.arange(len(often))
+            column = column[k]
+            many, vectors = np.flatnonzero(column >= 0), idf[often, None] * axes.values[place[often]]
+            step = max(1, 200_000 // max(len(often), 1))
+            for low in range(0, len(full), step):
+                high = min(low + step, len(full))
+                a, z = np.searchsorted(block[many], [low, high])
+                some = many[a:z]
+                times = np.bincount((block[some] - low) * len(often) + column[some], minlength=(high - low) * len(often))
+                full[low:high] = full[low:high] + times.reshape(high - low, len(often)).astype(np.float32) @ vectors
+            few = np.flatnonzero(column < 0)
+            block, k = block[few], k[few]
+            for some in _layers(block):
+                full[block[some]] += idf[k[some], None] * axes.values[place[k[some]]]
             _forget(vocabularies, v)
         both = full.copy()
         joined = np.flatnonzero(self.pair)
@@ -231,9 +265,9 @@ def find(windows: Windows, part: Part, both: np.ndarray) -> dict[tuple[int, int]
     passages = len(part.passages)
     found = []
     for b, p in _by_words(part, window, term):
-        good = _overlap(part, b, p, cells_from[b], cells_from[b + 1], term) >= part.enough[p]
+        good = _overlap(part, p, cells_from[b], cells_from[b + 1], term, part.times)[0] >= part.enough[p]
         found.append(b[good] * passages + p[good])
-    step = max(1, 2_000_000 // passages)
+    step = max(1, 400_000 // passages)
     for low in range(0, len(both), step):
         b, p = np.nonzero(both[low : low + step] @ part.latent.T >= COSINE)
         found.append((b + low) * passages + p)
@@ -246,8 +280,11 @@ def find(windows: Windows, part: Part, both: np.ndarray) -> dict[tuple[int, int]
     end = np.minimum(start + 2 * BLOCK + BLOCK // 2, words.offsets[row_of + 1])
     length = np.array([len(x) for x in part.passages])
     a, z = np.searchsorted(at, begin), np.searchsorted(at, end)
-    maybe = np.flatnonzero(_overlap(part, b, p, a, z, k) >= np.where(part.short, 1.0, PARAPHRASE)[p] * length[p])
-    for c in maybe:
+    # only what the words alone allow is judged in their order; weights a little below, as they are added up in another order
+    shared, answered, weight = _overlap(part, p, a, z, k, part.times, part.answers, part.weights)
+    reworded = (shared >= PARAPHRASE * length[p]) & (answered >= ANSWER * np.minimum(ANSWER_WORDS, length[p])) & (weight >= 0.999 * WEIGHT * part.weight[p])
+    maybe = np.where(part.short[p], shared >= length[p], (shared >= VERBATIM * length[p]) | reworded)
+    for c in np.flatnonzero(maybe):
         passage, n = part.passages[p[c]].tolist(), int(p[c])
         region = k[a[c] : z[c]].tolist()
         if part.short[n]:
@@ -357,6 +394,25 @@ def _pack(row: np.ndarray, place: np.ndarray, weight: np.ndarray, number: int) -
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["number", "ends", "places", "weights"])
 
 
+def _grouped(row: np.ndarray, place: np.ndarray, weight: np.ndarray, number: int):
+    """The rows in parts of GROUP, with their numbers; rows whose most frequent place is the same lie together, as texts of a
+    language do, so that a part has fewer places and more of them are in many of its rows."""
+    count = np.bincount(place)
+    rank = np.empty_like(count)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    least = np.full(number, len(count))
+    np.minimum.at(least, row, rank[place])
+    new = np.empty(number, np.int64)
+    new[np.argsort(least, kind="stable")] = np.arange(number)
+    row = new[row]
+    order = np.argsort(row, kind="stable")
+    row, place, weight = row[order], place[order], weight[order]
+    for low in range(0, number, GROUP):
+        high = min(low + GROUP, number)
+        a, z = np.searchsorted(row, [low, high])
+        yield row[a:z] - low, place[a:z], weight[a:z], high - low
+
+
 def document_rows(scan: DataFrame, vocabularies: list, used: np.ndarray) -> DataFrame:
     """Packed rows of TF-IDF, of length 1, for every passage that scanned() found."""
     axes = Axes(used, np.zeros((len(used), 0)))
@@ -375,7 +431,8 @@ def document_rows(scan: DataFrame, vocabularies: list, used: np.ndarray) -> Data
                     start += len(terms)
                     _forget(vocabularies, v)
                 row = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
-                yield _pack(*_unit_rows(row, place, weight, len(ends), len(used)), len(ends))
+                for part in _grouped(*_unit_rows(row, place, weight, len(ends), len(used)), len(ends)):
+                    yield _pack(*part)
 
     return scan.where("ends is not null").select("ends", "words").mapInArrow(make, _PACKED)
 
@@ -387,18 +444,6 @@ def orthogonal(block: np.ndarray) -> np.ndarray:
     return block @ (vectors * np.where(good, 1 / np.sqrt(np.where(good, values, 1)), 0))
 
 
-def _runs(x: np.ndarray, size: int = 2_000):
-    """(values, heads, low, high): x in slices low:high of about so many entries, with the values of their runs and where these begin in
-    the slice.  A value's run is never divided."""
-    heads = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-    first = 0
-    while first < len(heads):
-        last = max(int(np.searchsorted(heads, heads[first] + size)), first + 1)
-        low, high = int(heads[first]), int(heads[last]) if last < len(heads) else len(x)
-        yield x[heads[first:last]], heads[first:last] - low, low, high
-        first = last
-
-
 def latent_axes(rows: DataFrame, used: np.ndarray, seed: int = 5, documents: DataFrame | None = None, scale: float = 1.0) -> Axes:
     """Leading right singular vectors of a TF-IDF matrix A, by randomised subspace iteration.
 
@@ -444,13 +489,13 @@ def latent_axes(rows: DataFrame, used: np.ndarray, seed: int = 5, documents: Dat
                     latent = dense @ block[often]
                     few = np.flatnonzero(column < 0)
                     row, place, weight = row[few], place[few], weight[few, None]
-                    for own, other, low, high in _runs(row):
-                        latent[own] += np.add.reduceat(weight[low:high] * block[place[low:high]], other, axis=0)
+                    for some in _layers(row):
+                        latent[row[some]] += weight[some] * block[place[some]]
                     total[often] += record["square"] * (dense.T @ latent)
                     order = np.argsort(place, kind="stable")
-                    row, place, weight = row[order], place[order], weight[order]
-                    for own, other, low, high in _runs(place):
-                        total[own] += record["square"] * np.add.reduceat(weight[low:high] * latent[row[low:high]], other, axis=0)
+                    row, place, weight = row[order], place[order], record["square"] * weight[order]
+                    for some in _layers(place):
+                        total[place[some]] += weight[some] * latent[row[some]]
             at = np.flatnonzero(np.abs(total).sum(1))
             ends = np.arange(len(at) + 1, dtype=np.int32) * width
             for low in range(0, len(at), 4096):

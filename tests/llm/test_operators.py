@@ -327,6 +327,47 @@ def test_leaks_against_all_pairs(spark):
     assert want <= got and len(want) >= 30 and len(got) <= len(want) + 5
 
 
+def test_only_what_the_words_allow_is_judged_in_order(monkeypatch):
+    """Passages that have half of their words in a text by chance, but neither their answer nor their weight, aren't compared in order; and
+    the windows' places in the latent space are the sums of their words, frequent ones or not."""
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(20)]
+    write = lambda n: [rng.choice(common) if rng.random() < 0.7 else f"u{rng.randrange(3000)}" for _ in range(n)]
+    items, docs = [write(32) for _ in range(60)], [write(rng.randrange(0, 300)) for _ in range(200)]
+    docs[7][40:40], docs[9] = items[3], docs[9] + items[5]
+    hashed = text.Words(pa.array([" ".join(x) for x in items]))
+    lists = [hashed.hashes[a:b] for a, b in zip(hashed.offsets, hashed.offsets[1:], strict=False)]
+    df = [np.array([sum(x in d for d in map(set, docs)) for x in item]) for item in items]
+    part = decontaminate.Part(np.arange(len(items)), lists, df, np.zeros(len(items), bool), len(docs))
+    used = np.unique(decontaminate.places_of(part.terms))
+    axes = decontaminate.Axes(used, np.random.default_rng(1).standard_normal((len(used), 8)))
+    part.project(axes)
+    windows = decontaminate.Windows(text.Words(pa.array([" ".join(x) for x in docs])))
+    both = windows.fold([type("Here", (), {"value": (part.terms, part.idf)})], axes)
+    vector = {x: part.idf[t] * axes.values[axes.rows(part.terms[t : t + 1])[0]] for item, h in zip(items, lists, strict=True) for x, t in zip(item, np.searchsorted(part.terms, h), strict=True)}
+    for d, first, blocks in zip(docs, windows.first, windows.blocks, strict=False):
+        for b in range(blocks):
+            want = sum((vector[x] for x in d[32 * b : 32 * b + 64] if x in vector), np.zeros(8))
+            assert np.allclose(both[first + b], want / max(np.linalg.norm(want), 1e-9), atol=1e-4)
+    judged, compare = [], decontaminate.common_subsequence
+    monkeypatch.setattr(decontaminate, "common_subsequence", lambda a, b: judged.append(1) or compare(a, b))
+    got = decontaminate.find(windows, part, both)
+    total = np.array([sum(part.idf[p]) for p in part.passages])
+    want, chance = set(), 0
+    for i, d in enumerate(docs):
+        for low in range(0, len(d), 32):
+            region = d[max(low - 16, 0) : low + 80]
+            for j, item in enumerate(items):
+                share, have = compare(item, region) / len(item), set(region)
+                weight = sum(part.idf[t] for t, x in zip(part.passages[j], item, strict=True) if x in have)
+                chance += sum(x in have for x in item) >= decontaminate.PARAPHRASE * len(item)
+                answered = sum(x in have for x in item[-8:]) / 8
+                if share >= decontaminate.VERBATIM or share >= decontaminate.PARAPHRASE and answered >= decontaminate.ANSWER and weight >= decontaminate.WEIGHT * total[j]:
+                    want.add((i, j))
+    assert set(got) == want and {(7, 3), (9, 5)} <= want
+    assert chance > 10_000 and len(judged) < chance / 2
+
+
 def test_short_items_in_full_passages(spark):
     """Thousands of short items out of ordinary words, each copied into the middle of another document."""
     rng = random.Random(21)
