@@ -19,6 +19,10 @@ HASHES, ALIKE = 48, 0.5
 #: one group.  A band is two places of a group: signatures that are alike agree in a whole band, always.
 _GROUPS = np.array_split(np.random.default_rng(47).permutation(HASHES), math.ceil(ALIKE * HASHES) - 1)
 _BANDS = np.array([pair for group in _GROUPS for pair in combinations(group, 2)])
+#: In an order in which a band and the two before it have six places; those before each, and the places that none of the three has.
+_BANDS = _BANDS[np.arange(len(_BANDS)) * 10 % len(_BANDS)]
+_BEFORE = np.hstack([np.roll(_BANDS, 1, axis=0), np.roll(_BANDS, 2, axis=0)])
+_REST = np.array([np.setdiff1d(np.arange(HASHES), [*own, *before]) for own, before in zip(_BANDS, _BEFORE, strict=True)])
 _ODD = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 _MASK = (1 << 61) - 1
 
@@ -73,10 +77,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def banded(standing: DataFrame) -> DataFrame:
-    """(band, id, n0, n1, n2): every band's hash of (id, signature), with the low four bits of all HASHES values.
+    """(band, id, n0, n1, n2): every band's hash of (id, signature), with the four values of the two bands before it, whole, in n0 and
+    the low three bits of the other 42 in n1 and n2, whose signs tell that there is a band before it, and a second.
 
     Equal values have equal low bits, so two rows with fewer than ALIKE * HASHES equal ones of those can't be
-    alike; of two random values only one in 16 agrees.  So pairs are judged in the join, before they move."""
+    alike; of two random values only one in 8 agrees.  And rows that agree in a band before this one meet there.  So pairs
+    are judged in the join, before they move, and move from few of the bands that they share."""
 
     def make(batches):
         for batch in batches:
@@ -88,11 +94,13 @@ def banded(standing: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 band = mix(mix(signed[:, _BANDS[:, 0]]) + signed[:, _BANDS[:, 1]])
                 band = mix(band + np.arange(times, dtype=np.uint64)[None, :])
-                bits = (signed & np.uint64(15)).reshape(-1, 3, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-            small = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+                whole = np.bitwise_or.reduce(signed[:, _BEFORE] << (np.arange(4, dtype=np.uint64) * np.uint64(16)), axis=2)
+                bits = np.bitwise_or.reduce((signed & np.uint64(7))[:, _REST].reshape(-1, times, 2, 21) << (np.arange(21, dtype=np.uint64) * np.uint64(3)), axis=3)
+                bits |= (np.arange(times)[:, None] > np.arange(2)).astype(np.uint64) << np.uint64(63)
+            small = [x.reshape(-1).view(np.int64) for x in (whole, *np.ascontiguousarray(np.moveaxis(bits, 2, 0)))]
             ids = batch.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(band.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, times)), *[pa.array(np.repeat(small[:, k], times)) for k in range(3)]],
+                [pa.array(band.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, times)), *map(pa.array, small)],
                 names=["band", "id", "n0", "n1", "n2"],
             )
 
@@ -105,14 +113,18 @@ def candidates(standing: DataFrame) -> DataFrame:
     left = rows.select("band", F.col("id").alias("a"), *[F.col(f"n{k}").alias(f"x{k}") for k in range(3)])
     right = rows.select("band", F.col("id").alias("b"), *[F.col(f"n{k}").alias(f"y{k}") for k in range(3)])
 
-    ones = F.lit(0x1111111111111111)
+    x0, x1, x2 = (F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}")) for k in range(3))
 
-    def equal(k: int):
-        x = F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))
-        some = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        return F.lit(16) - F.bit_count(some.bitwiseAND(ones))
+    def same(x, bits: int, at: int):
+        return F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << bits) - 1)) == 0
 
-    return left.join(right, "band").where((F.col("a") < F.col("b")) & (equal(0) + equal(1) + equal(2) >= int(ALIKE * HASHES))).select("a", "b").repartition("a").distinct()
+    def equal(x):
+        some = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.lit(21) - F.bit_count(some.bitwiseAND(F.lit(sum(1 << 3 * k for k in range(21)))))
+
+    number = F.lit(2) + equal(x1) + equal(x2) + sum(same(x0, 16, 16 * k).cast("int") for k in range(4))
+    before = (F.col("x1") < 0) & same(x0, 32, 0) | (F.col("x2") < 0) & same(x0, 32, 32)
+    return left.join(right, "band").where((F.col("a") < F.col("b")) & ~before & (number >= int(ALIKE * HASHES))).select("a", "b").repartition("a").distinct()
 
 
 def alike(docs: DataFrame) -> DataFrame:

@@ -220,6 +220,23 @@ def test_phrases(spark, corpus):
     assert abs(np.mean(jaccard)) < 0.1
 
 
+def test_near_copies_move_from_few_of_their_bands(spark, monkeypatch):
+    """Pairs that share some 19 of the 27 bands, and the chance of sharing each of them with the two before it or not."""
+    rng = np.random.default_rng(8)
+    n = 300
+    x = rng.integers(0, 2**16, (n, phrases.HASHES)).astype(np.uint16)
+    y = x.copy()
+    for i in range(n):
+        at = rng.permutation(phrases.HASHES)[: 8 if i < 200 else 22 + i % 3]
+        y[i, at] ^= rng.integers(1, 2**13, len(at)).astype(np.uint16) << np.uint16(3)  # their low bits stay as they are
+    column = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([x, y]).view(np.int16).ravel()), phrases.HASHES).cast(pa.list_(pa.int16()))
+    standing = spark.createDataFrame(pa.table({"id": pa.array(range(2 * n)), "signature": column})).repartition(3)
+    assert {(r.a, r.b) for r in phrases.candidates(standing).collect()} == {(k, k + n) for k in range(n)}
+    monkeypatch.setattr(type(standing), "distinct", lambda df: df)  # what moves
+    moved = phrases.candidates(standing).collect()
+    assert {(r.a, r.b) for r in moved} == {(k, k + n) for k in range(n)} and sum(r.a < 200 for r in moved) < 4 * 200
+
+
 def test_phrases_at_the_threshold(spark):
     rng = np.random.default_rng(12)
     n = 6000
