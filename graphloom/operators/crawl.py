@@ -27,12 +27,15 @@ Fetcher = Callable[[DataFrame], DataFrame]
 
 
 def snapshot(pages: DataFrame) -> Fetcher:
-    """Pages (url, html) by their normal address; of several with the same one, the least page counts."""
+    """Pages (url, html) by their normal address; of several with the same one, the least page counts.
+
+    No server has to be spared here, so crawl() takes all that is due at once."""
     held = pages.select(urls.once(urls.normalize(F.col("url")), "url"), "html").where("url is not null").groupBy("url").agg(F.min("html").alias("html"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
         return wanted.join(held, "url", "left").select("urlid", "html", F.when(F.col("html").isNull(), NOT_FOUND).alias("error"))
 
+    fetch.at_once = True
     return fetch
 
 
@@ -87,8 +90,9 @@ def links(documents: DataFrame) -> DataFrame:
 def new_links(documents: DataFrame, hosts: DataFrame, patterns: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links that a pattern of their host matches, frontier rows that are new)."""
     placed = links(documents).select(urls.full_host(F.col("link")).alias("address"), urls.file(F.col("link")).alias("path")).join(hosts, "address").select("hostid", "path")
-    valid = frontier.classify(placed, patterns).withColumnRenamed("is_entity", "entity")
-    return valid, frontier.add(table, valid)
+    # the pages are read and parsed once for what is counted, what is new and the table after it
+    valid = cut(frontier.classify(placed, patterns).withColumnRenamed("is_entity", "entity"))
+    return valid, cut(frontier.add(table, valid))
 
 
 def hosts_down(fetched: DataFrame, fetcher: Fetcher) -> DataFrame:
@@ -111,13 +115,13 @@ class Round:
     counters: DataFrame
 
 
-def crawl_round(table: DataFrame, locks: DataFrame, hosts: DataFrame, patterns: DataFrame, fetcher: Fetcher, now: int, policies: DataFrame | None = None, ignore_policy: bool = False, source_first: bool = True, size: int = frontier.FETCH) -> Round:
+def crawl_round(table: DataFrame, locks: DataFrame, hosts: DataFrame, patterns: DataFrame, fetcher: Fetcher, now: int, policies: DataFrame | None = None, ignore_policy: bool = False, source_first: bool = True, size: int = frontier.FETCH, at_once: bool = False) -> Round:
     """Fetches the next URLs of every host, finds their links and updates the frontier.
 
     ``policies``: (hostid, policy); what they forbid isn't fetched and isn't an error.  Where every fetch of a
     host got no answer (an error other than NOT_FOUND), the host's own address is tried: if that gets none either the host is
-    down and its URLs aren't penalised.  Only entity pages are documents."""
-    batch = frontier.prefetch(table, locks, patterns, now, size, source_first).join(hosts, "hostid").withColumn("url", urls.join_host(F.col("address"), F.col("path")))
+    down and its URLs aren't penalised.  Only entity pages are documents.  ``at_once``: as in prefetch()."""
+    batch = frontier.prefetch(table, locks, patterns, now, size, source_first, at_once).join(hosts, "hostid").withColumn("url", urls.join_host(F.col("address"), F.col("path")))
     if policies is not None and not ignore_policy:
         batch = batch.join(policies, "hostid", "left").withColumn("allowed", robots.allows(F.col("path"), F.col("policy"))).drop("policy")
     else:
@@ -139,12 +143,15 @@ def crawl(table: DataFrame, hosts: DataFrame, patterns: DataFrame, fetcher: Fetc
     """Rounds until one brings no page (or as many as are asked for), all at the time ``now``.
 
     What was fetched isn't due again at that time, so this ends; hosts that are down are left for another
-    crawl.  What ``locks`` hold is others' and left alone.  The documents of all rounds are together; a round's rows are written to the shared folder."""
+    crawl.  What ``locks`` hold is others' and left alone.  The documents of all rounds are together; a round's rows are written to the shared folder.
+    Where their number is open and the fetcher spares no server, a round takes all that is due, so that there are as many as
+    links are deep and not as many as the largest host has pages by 50."""
     locks = table.sparkSession.createDataFrame([], frontier.LOCK) if locks is None else locks
+    options = {"at_once": rounds is None and getattr(fetcher, "at_once", False)} | options
     documents, counters, k = None, None, 0
     while rounds is None or k < rounds:
         made = crawl_round(table, locks, hosts, patterns, fetcher, now, **options)
-        found = cut(made.documents)
+        found = made.documents  # of pages that are written already
         numbers = cut(made.counters)
         table = made.table
         documents = found if documents is None else documents.unionByName(found)
