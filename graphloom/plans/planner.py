@@ -153,7 +153,30 @@ class Planner:
             return self.group(sub.group), shared
         # conditions inside that name outer variables: these are joined in, each combination once
         keys = frame.select(*[c for c in outer if c in free or c in shared]).distinct()
-        return self.group(sub.group, keys), [c for c in outer if c in free or c in shared]
+        pairs, rest = ([], []) if sub.group.optional else self._equalities(sub.group.where, set(outer), own)
+        if not pairs:
+            return self.group(sub.group, keys), keys.columns
+        # an equality between both sides is the join's key, as in IN; without it every outer row would meet every inner one
+        rows = self.group(replace(sub.group, where=None))
+        rows = rows.withColumns({f"__in{k}": self.identity(self.value(e, own)) for k, (_, e) in enumerate(pairs)})
+        asked = keys.withColumns({f"__in{k}": self.identity(self.value(e, set(outer))) for k, (e, _) in enumerate(pairs)})
+        met = self.join(asked, rows).drop(*[f"__in{k}" for k in range(len(pairs))])
+        return reduce(self.filter, rest, met), keys.columns
+
+    @classmethod
+    def _equalities(cls, e: tuple | None, outer: set[str], own: set[str]) -> tuple[list[tuple], list[tuple]]:
+        """Of the conditions that AND joins: ([(outer side, own side) of those that equate them], the others)."""
+        if e is None:
+            return [], []
+        if e[0] == "and":
+            a, b = cls._equalities(e[1], outer, own), cls._equalities(e[2], outer, own)
+            return a[0] + b[0], a[1] + b[1]
+        if e[0] == "compare" and len(e) == 4 and e[1] == "=":
+            for x, y in ((e[2], e[3]), (e[3], e[2])):
+                far, near = _in_condition(x), _in_condition(y)
+                if far and near and far <= outer and not far & own and near <= own:
+                    return [(x, y)], []
+        return [], [e]
 
     def semi(self, frame: DataFrame, sub: Select | SetOp, how: str) -> DataFrame:
         rows, names = self._inner(frame, sub)
@@ -220,6 +243,13 @@ class Planner:
         order = {"<": lambda p, q: p < q, "<=": lambda p, q: p <= q, ">": lambda p, q: p > q, ">=": lambda p, q: p >= q}[op]
         return F.when(both, order(x, y)).when(lexical, order(a["v"], b["v"]))
 
+    @staticmethod
+    def identity(x: Column) -> Column:
+        """A key that is the same for two terms exactly where compare() takes them as equal; null for none."""
+        n = t.number(x["v"], x["dt"])
+        other = lambda f: F.when(n.isNull(), x[f]).alias(f)
+        return F.when(x.isNotNull(), F.struct(n.alias("n"), *[other(f) for f in _FIELDS]))
+
     def value(self, e: tuple, names: set[str]) -> Column:
         if e[0] == "term":
             return _constant(e[1])
