@@ -75,15 +75,16 @@ def schedule(batch: DataFrame, delay_ms: Column, start_ms: int = 0) -> DataFrame
     return batch.withColumn("fetch_at", F.lit(start_ms).cast("bigint") + (rank - 1) * delay_ms)
 
 
-def links(documents: DataFrame) -> DataFrame:
-    """(url, link): every link of (url, html) to the page's own host, as a normal address.
+def links(documents: DataFrame, *keep: str) -> DataFrame:
+    """(url, link): every link of (url, html) to the page's own host, as a normal address; with the columns ``keep``, which tell
+    pages of the same URL apart.
 
     Relative links are resolved against the page's base address if it has one, else its URL; what isn't a
     URL, and other schemes than http(s), is left out."""
-    based = documents.select("url", "html", urls.once(F.coalesce(urls.normalize(h.base_href(F.col("html"))), F.col("url")), "__base"))
+    based = documents.select(*keep, "url", "html", urls.once(F.coalesce(urls.normalize(h.base_href(F.col("html"))), F.col("url")), "__base"))
     wanted = F.filter(h.hrefs(F.col("html")), lambda x: ~x.rlike("^(?i:javascript|mailto|data|tel|ftp):"))
     target = F.transform(wanted, lambda x: urls.normalize(urls.resolve(F.col("__base"), urls.unescape(x))))
-    out = based.select("url", F.explode(target).alias("link"))
+    out = based.select(*keep, "url", F.explode(target).alias("link"))
     return out.where(F.col("link").rlike("^https?://") & urls.equal_hosts(F.col("url"), F.col("link")))
 
 

@@ -245,9 +245,7 @@ _LINKS = r"""found as (
 @query(rf"""with {_LINKS} select page_id, root || href as link from plain""")
 def link_extract(spark, d):
     """Links of every page (those of these pages are normal as they stand)."""
-    pages = views.read(spark, d, "pages").select("page_id", F.col("url"), "html")
-    made = crawl.links(pages.select(F.concat(F.col("page_id").cast("string"), F.lit("|"), "url").alias("key"), "url", "html").select("url", "html"))
-    return made.join(pages.select("page_id", "url"), "url").select("page_id", "link")
+    return crawl.links(views.read(spark, d, "pages"), "page_id").select("page_id", "link")
 
 
 @query(r"""with paths as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]+', ''), '#.*$', '') as path from pages)
