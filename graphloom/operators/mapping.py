@@ -34,20 +34,26 @@ class Mapping:
         return spark.createDataFrame(self.rows(), "role string, `from` string, `to` string")
 
 
-def map_statements(statements: DataFrame, mapping: DataFrame) -> DataFrame:
+#: Entries up to which a configuration's mapping is sent to all tasks.
+FEW = 100_000
+
+
+def map_statements(statements: DataFrame, mapping: DataFrame, few: bool = False) -> DataFrame:
     """Each role's URIs replaced by its entries, once, not transitively; literals and blank nodes stay.
 
     ``mapping``: (role, from, to), at most one ``to`` for each role and ``from``.  Three left joins, whose
-    strategy Spark picks by the mapping's size; a role without entries costs nothing at all."""
+    strategy Spark picks by the mapping's size; a role without entries costs nothing at all.  ``few``: the mapping is known to be
+    small and is sent to all tasks, so that statements stay where they are read: moved by predicate, those of the most
+    frequent one would all meet in one task."""
     for role, column, kind in (("SUBJECT", "s", "s_kind"), ("PREDICATE", "p", None), ("OBJECT", "o", "o_kind")):
         own = mapping.where(F.col("role") == role).groupBy(F.col("from").alias("__from")).agg(F.max("to").alias("__to"))
         on = F.col(column) == F.col("__from")
         if kind:
             on &= F.col(kind) == URI
-        statements = statements.join(own, on, "left").withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")
+        statements = statements.join(F.broadcast(own) if few else own, on, "left").withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")
     return statements
 
 
 def apply(statements: DataFrame, mapping: Mapping) -> DataFrame:
     """map_statements() for a mapping of a configuration."""
-    return map_statements(statements, mapping.frame(statements.sparkSession))
+    return map_statements(statements, mapping.frame(statements.sparkSession), len(mapping.rows()) <= FEW)
